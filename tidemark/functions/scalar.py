@@ -482,8 +482,15 @@ def array_join(xs, d) -> Column:
 def array_combine(d, *arrays) -> Column:
     """All combinations of one element each, joined; the last array varies fastest."""
     out = F.transform(col(arrays[0]), lambda x: x.cast("string"))
+
+    def with_each(left: Column, more: Column) -> Column:
+        return F.transform(more, lambda x: F.concat(left, F.lit(d), x.cast("string")))
+
+    def times(done: Column, more: Column) -> Column:
+        return F.flatten(F.transform(done, lambda left: with_each(left, more)))
+
     for a in arrays[1:]:
-        out = F.flatten(F.transform(out, lambda left, a=a: F.transform(col(a), lambda x: F.concat(left, F.lit(d), x.cast("string")))))
+        out = times(out, col(a))
     return out
 
 

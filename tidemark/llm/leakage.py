@@ -3,12 +3,11 @@
 Both sides are brought to one line of lower-case words. A stretch of 16 words with at most one word in five
 changed keeps a known number of its character q-grams, all close to one diagonal. So for every document and
 item the shared q-grams are counted in overlapping bands of diagonals, the bands that reach the bound are
-kept, and in them the words are aligned within a band to see whether the stretch is really there.
+kept, and around the diagonals of their q-grams the words are aligned to see whether the stretch is there.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +19,11 @@ from tidemark.llm.normal import words_line
 
 Q = 8
 LEAST_WORDS, EDITS_IN = 16, 5
+#: A stretch can be cut into parts of 16 to 31 words of which one has at most six edits, four equal words in a
+#: row among them. So some q-gram of that part lies on a diagonal from which the part strays by six words at most.
+REACH = 6
+#: Width of a band in characters: six added words of ten and their blanks stray by half of it.
 BAND = 128
-REACH = 24
 SLICE = 1 << 20
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -67,6 +69,9 @@ class Passages:
     place: np.ndarray
     least: np.ndarray  # per item
     filter: np.ndarray  # bit table of hashed q-grams
+    word_at: list[np.ndarray]  # per item, number of the word at each byte of its line
+    vocabulary: dict[bytes, int]
+    coded: list[np.ndarray]  # per item, its words as numbers
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Passages:
@@ -80,7 +85,15 @@ class Passages:
         grams, start = np.unique(gram[order], return_index=True)
         table = np.zeros(1 << _BITS, bool)
         table[_hashed(grams)] = True
-        return cls([i for i, _ in rows], words, grams, np.append(start, len(gram)), item[order].astype(np.int64), place[order].astype(np.int64), np.array([least_shared(w) for w in words], np.int64), table)
+        vocabulary: dict[bytes, int] = {}
+        coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in words]
+        least = np.array([least_shared(w) for w in words], np.int64)
+        return cls([i for i, _ in rows], words, grams, np.append(start, len(gram)), item[order].astype(np.int64), place[order].astype(np.int64), least, table, [word_numbers(x) for x in lines], vocabulary, coded)
+
+
+def word_numbers(line: np.ndarray) -> np.ndarray:
+    """Number of the word that a byte of a line belongs to; a blank belongs to the word after it."""
+    return np.cumsum(line == 32) - 1
 
 
 def _hashed(grams: np.ndarray) -> np.ndarray:
@@ -88,121 +101,121 @@ def _hashed(grams: np.ndarray) -> np.ndarray:
         return ((grams * _HASH) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def candidates(line: np.ndarray, index: Passages) -> list[tuple[int, int, int]]:
-    """(item, first byte, last byte) of the regions of a line that share enough q-grams with an item."""
+def candidates(line: np.ndarray, index: Passages) -> dict[int, np.ndarray]:
+    """Per item whose q-grams a line shares in sufficient number within a band: the diagonals, in words, on which they lie."""
     grams = qgrams(line)
     at = np.flatnonzero(index.filter[_hashed(grams)])
     if len(at) == 0:
-        return []
+        return {}
     found = np.searchsorted(index.grams, grams[at])
     found[found == len(index.grams)] = 0
     real = index.grams[found] == grams[at]
     at, found = at[real], found[real]
     if len(at) < index.least.min():
-        return []
+        return {}
     many = index.start[found + 1] - index.start[found]
     # in slices of places, so that a text that repeats a much shared phrase can't fill the memory with them
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(many) // SLICE)) + 1).tolist(), len(at)]
-    parts = [_counted(*_places(at[a:b], found[a:b], index)) for a, b in zip(cuts, cuts[1:]) if b > a]
-    key, count, first, last = parts[0] if len(parts) == 1 else _combined(*(np.concatenate(x) for x in zip(*parts)))
-    item = key >> 40
-    enough = count >= index.least[item]
-    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, a, b in zip(item[enough].tolist(), first[enough].tolist(), last[enough].tolist()):
-        out[i].append((a, b + Q))
-    return [(i, a, b) for i, spans in sorted(out.items()) for a, b in _merged(spans)]
-
-
-def _counted(where: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per item and band: number of shared q-grams, first and last place. Each diagonal lies in two bands."""
-    shifted = 2 * diagonal + (1 << 37)
-    bands = np.concatenate([shifted // (2 * BAND) * 2, (shifted + BAND) // (2 * BAND) * 2 + 1])
-    spot = np.concatenate([where, where])
-    return _combined((np.concatenate([item, item]) << 40) | bands, np.ones(len(bands), np.int64), spot, spot)
-
-
-def _combined(key: np.ndarray, count: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    edges = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-    return key[edges], np.add.reduceat(count[order], edges), np.minimum.reduceat(first[order], edges), np.maximum.reduceat(last[order], edges)
-
-
-def _places(at: np.ndarray, found: np.ndarray, index: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each q-gram of the text with each of its places in the items: place in the text, item, diagonal."""
+    slices = [(at[a:b], found[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+    parts = [_counted(*_places(*x, index)) for x in slices]
+    key, count = parts[0] if len(parts) == 1 else _combined(*(np.concatenate(x) for x in zip(*parts)))
+    enough = key[count >= index.least[key >> 40]]
+    if len(enough) == 0:
+        return {}
+    word_at, kept = word_numbers(line), []
+    for x in slices:
+        where, item, diagonal, place = _places(*x, index)
+        here = _within(_bands(item, diagonal, 0), enough) | _within(_bands(item, diagonal, 1), enough)
+        where, item, place = where[here], item[here], place[here]
+        for i in np.unique(item).tolist():
+            mine = item == i
+            kept.append(i << 40 | np.unique(word_at[where[mine]] - index.word_at[i][place[mine]] + (1 << 32)))
+    out: dict[int, list[np.ndarray]] = {}
+    for k in kept:
+        out.setdefault(int(k[0] >> 40), []).append((k & ((1 << 40) - 1)) - (1 << 32))
+    return {i: np.unique(np.concatenate(ds)) for i, ds in sorted(out.items())}
+
+
+def _within(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(some, keys)
+    at[at == len(some)] = 0
+    return some[at] == keys
+
+
+def _places(at: np.ndarray, found: np.ndarray, index: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each q-gram of the text with each of its places in the items: place in the text, item, diagonal, place in the item."""
     many = index.start[found + 1] - index.start[found]
     where = np.repeat(at, many)
     within = np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
     hit = np.repeat(index.start[found], many) + within
-    return where, index.item[hit], where - index.place[hit]
+    return where, index.item[hit], where - index.place[hit], index.place[hit]
+
 
+def _bands(item: np.ndarray, diagonal: np.ndarray, which: int) -> np.ndarray:
+    """Item and band of each diagonal; every diagonal lies in two bands, which overlap by half."""
+    return (item << 40) | ((diagonal + (1 << 36) + which * (BAND // 2)) // BAND * 2 + which)
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
 
+def _counted(where: np.ndarray, item: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of shared q-grams per item and band."""
+    key, count = np.unique(np.concatenate([_bands(item, diagonal, 0), _bands(item, diagonal, 1)]), return_counts=True)
+    return key, count
 
-def aligned(passage: list[bytes], text: list[bytes]) -> bool:
-    """Whether 16 or more consecutive words of the passage recur in the text with at most one in five edited.
 
-    For every first word of a stretch and every diagonal near those on which the words agree, the best value of
-    "words - 5 * edits" is carried forward word by word; a stretch is there when the value isn't negative after
-    16 words or more. It begins and ends with words that recur. Replaced and dropped words count among the
-    words of the stretch, added ones don't.
+def _combined(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key, back = np.unique(key, return_inverse=True)
+    return key, np.bincount(back, weights=count).astype(np.int64)
+
+
+def stretch_on(p: np.ndarray, t: np.ndarray, diagonals: np.ndarray) -> bool:
+    """Whether 16 or more consecutive words of p recur in t, near one of the diagonals, with at most one in five edited.
+
+    p and t are words as numbers, -1 for words that no item has. First, for all diagonals at once: the words
+    of p that meet their like anywhere in the band must be enough. What is left is aligned.
     """
-    n, m = len(passage), len(text)
-    if n < LEAST_WORDS or m < LEAST_WORDS - LEAST_WORDS // EDITS_IN:
+    n, m = len(p), len(t)
+    if n < LEAST_WORDS:
         return False
-    ids: dict[bytes, int] = {w: k for k, w in enumerate(dict.fromkeys(passage))}
-    p = np.array([ids[w] for w in passage], np.int64)
-    t = np.array([ids.get(w, -1) for w in text], np.int64)
-    same = p[:, None] == t[None, :]
-    i, j = np.nonzero(same)
-    if len(i) < LEAST_WORDS - LEAST_WORDS // EDITS_IN - 1:
-        return False
-    # runs of equal words along each diagonal: 16 in a row settle it
-    diagonals, counts = np.unique(j - i, return_counts=True)
-    padded = np.full((n, m + 2 * n), False)
-    padded[:, n : n + m] = same
-    tried: list[int] = []
-    for d in diagonals[np.argsort(-counts, kind="stable")]:
-        near = counts[np.abs(diagonals - d) <= REACH].sum()
-        if near < LEAST_WORDS - LEAST_WORDS // EDITS_IN or any(abs(d - x) <= REACH // 2 for x in tried):
-            continue
-        tried.append(int(d))
-        if _stretch(padded, n, m, int(d)):
-            return True
+    padded = np.full(m + 2 * (n + REACH) + 1, -2, np.int64)
+    padded[n + REACH : n + REACH + m] = t
+    chunk = max(1, (1 << 21) // (n * (2 * REACH + 1)))
+    for c in range(0, len(diagonals), chunk):
+        part = diagonals[c : c + chunk]
+        part = part[(part > -n) & (part < m)]
+        met = np.zeros((len(part), n), bool)
+        for lane in range(-REACH, REACH + 1):
+            met |= padded[(part + lane + n + REACH)[:, None] + np.arange(n)] == p
+        total = np.concatenate([np.zeros((len(part), 1), np.int64), np.cumsum(np.where(met, 1, 1 - EDITS_IN), axis=1)], axis=1)
+        lowest = np.minimum.accumulate(total[:, : n + 1 - LEAST_WORDS], axis=1)
+        for d in part[(total[:, LEAST_WORDS:] >= lowest).any(axis=1)]:
+            if _aligned_on(p, padded, m, int(d)):
+                return True
     return False
 
 
-def _stretch(padded: np.ndarray, n: int, m: int, middle: int) -> bool:
+def _aligned_on(p: np.ndarray, padded: np.ndarray, m: int, middle: int) -> bool:
+    """Banded alignment around one diagonal.
+
+    For every first word of a stretch and every lane of the band the best value of "words - 5 * edits" is carried
+    forward word by word; a stretch is there when the value isn't negative after 16 words or more. It begins and
+    ends with words that recur. Replaced and dropped words count among its words, added ones don't.
+    """
+    n, never = len(p), -(10**6)
     lanes = np.arange(middle - REACH, middle + REACH + 1)
-    # of 16 words all but three must meet their like somewhere in the band
-    columns = np.arange(n)[:, None] + lanes + n
-    met = np.cumsum(np.append(0, (padded[np.arange(n)[:, None], columns.clip(0, padded.shape[1] - 1)]).any(axis=1)))
-    if (met[LEAST_WORDS:] - met[:-LEAST_WORDS]).max() < LEAST_WORDS - LEAST_WORDS // EDITS_IN:
-        return False
-    never = -(10**6)
     score = np.full((n, len(lanes)), never, np.int64)
     for i in range(n):
-        column = (i + lanes + n).clip(0, padded.shape[1] - 1)
-        hit = padded[i, column]
+        hit = padded[(i + lanes + n + REACH).clip(0, len(padded) - 1)] == p[i]
         inside = (i + lanes >= 0) & (i + lanes < m)
-        score[i] = np.where(hit, 0, never)  # a stretch begins with a word that recurs
+        score[i] = np.where(hit, 0, never)
         live = score[: i + 1]
-        met_now = np.where(hit, live + 1, never)
-        if i + 1 >= LEAST_WORDS and (met_now[: i + 2 - LEAST_WORDS] >= 0).any():  # and ends with one
+        met = np.where(hit, live + 1, never)
+        if i + 1 >= LEAST_WORDS and (met[: i + 2 - LEAST_WORDS] >= 0).any():
             return True
-        step = np.maximum(met_now, np.where(inside, live - 4, never))  # the word met, or replaced
-        step[:, :-1] = np.maximum(step[:, :-1], live[:, 1:] - 4)  # dropped: the next word meets this place
+        step = np.maximum(met, np.where(inside, live + 1 - EDITS_IN, never))  # the word met, or replaced
+        step[:, :-1] = np.maximum(step[:, :-1], live[:, 1:] + 1 - EDITS_IN)  # dropped: the next word meets this place
         for _ in range(3):
-            step[:, 1:] = np.maximum(step[:, 1:], step[:, :-1] - 5)  # added
-        step[step < -4 * n] = never
+            step[:, 1:] = np.maximum(step[:, 1:], step[:, :-1] - EDITS_IN)  # added
+        step[step < (1 - EDITS_IN) * n] = never
         score[: i + 1] = step
     return False
 
@@ -212,17 +225,11 @@ def leaked_items(text: str | None, index: Passages) -> list[int]:
     if not text or not index.ids:
         return []
     line = words_line(text)
-    out = []
-    raw = None
-    for i, a, b in candidates(line, index):
-        if out and out[-1] == i:
-            continue
-        raw = line.tobytes() if raw is None else raw
-        margin = 12 * LEAST_WORDS
-        a, b = raw.rfind(b" ", 0, max(1, a - margin)) + 1, raw.find(b" ", b + margin)
-        if aligned(index.words[i], raw[a : b if b >= 0 else len(raw)].split()):
-            out.append(i)
-    return out
+    found = candidates(line, index)
+    if not found:
+        return []
+    coded = np.array([index.vocabulary.get(w, -1) for w in line.tobytes().split()], np.int64)
+    return [i for i, diagonals in found.items() if stretch_on(index.coded[i], coded, diagonals)]
 
 
 def _searcher(index):

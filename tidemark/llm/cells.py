@@ -65,9 +65,19 @@ def text_cells(text: str, types: list | None, starts: list | None) -> Iterator[s
                 body = text[m.end() : after]
                 yield _COMMENT.sub("", re.split(r"(?m)^(?:#|//|--) Out\[", body, maxsplit=1)[0])
     elif re.search(r"(?m)^In \[[0-9 *]*\]:", text):
-        # a cell ends at an empty line; what neither In nor Out heads is text, unless an output goes on after one
+        # In and Out head blocks up to an empty line; what neither heads is text, unless an output goes on after one
+        told, shown = [], False
         for block in _BLOCK.split(text):
-            if not re.match(r"(?:In |Out)\[", block.strip()) and not re.match(r"[ \t{\[<]", block):
-                yield block
+            if re.match(r"(?:In |Out)\[", block.strip()):
+                shown = block.strip().startswith("Out")
+            elif not (shown and re.match(r"[ \t{\[<]", block)):
+                told.append(block)
+                shown = False
+                continue
+            if told:
+                yield "\n\n".join(told)
+                told = []
+        if told:
+            yield "\n\n".join(told)
     else:
         yield plain(_INDENTED.sub("", _FENCE.sub("", text)) if "```" in text else text)

@@ -69,6 +69,14 @@ FRAMES = {
     "not_in_window": BASE.rows_range(10, instance_not_in_window=True),
     "not_in_window_maxsize": BASE.rows_range(10, instance_not_in_window=True, maxsize=3),
     "not_in_window_exclude": BASE.rows_range(10, instance_not_in_window=True, maxsize=2, exclude_current_row=True),
+    "rows_blocks": BASE.rows(2, block_ms=7, block_rows=3),
+    "rows_history_blocks": BASE.rows(5, 2, block_ms=3, block_rows=1),
+    "rows_exclude_blocks": BASE.rows(3, exclude_current_row=True, block_ms=100, block_rows=4),
+    "range_blocks": BASE.rows_range(10, block_ms=7),
+    "range_history_blocks": BASE.rows_range(12, 3, block_ms=4),
+    "maxsize_blocks": BASE.rows_range(10, maxsize=2, block_ms=30),
+    "exclude_time_blocks": BASE.rows_range(10, exclude_current_time=True, block_ms=5),
+    "not_in_window_blocks": BASE.rows_range(10, instance_not_in_window=True, maxsize=3, block_ms=6),
     "not_in_window_rows": BASE.rows(2, instance_not_in_window=True),
 }
 

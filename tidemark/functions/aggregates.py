@@ -285,4 +285,6 @@ def lag(s: Scope, x: Column, n) -> Column:
     """n rows before the current one in the partition, whatever the frame."""
     if s.frame is None:
         raise ValueError("lag needs a window")
+    if s.frame.block_ms is not None:
+        raise ValueError("lag looks beyond blocks of time")
     return F.lag(x, int(n)).over(s._ordered("__ms", "__main", *s.frame.tie))

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.timeutil import millis
+from tidemark.timeutil import floor_div, millis
 
 #: Rows of a partition with the same time are told apart by adding their number; at most this many.
 PEERS = 1 << 20
@@ -42,6 +42,10 @@ class Frame:
 
     ``tie`` are columns that make the order of equal times total. ``unions`` are tables whose rows are in the
     window but give no output; on equal times they come before the rows of the table itself.
+
+    ``block_ms`` splits every key's rows into blocks, for keys that hold much of the table: a block is computed
+    apart, with the rows before it that its windows reach. It goes with frames that have a start. ROWS_RANGE frames
+    are split by time; ROWS frames into blocks of ``block_rows`` rows, whose numbers come from counts per ``block_ms``.
     """
 
     partition_by: Sequence[str]
@@ -57,12 +61,18 @@ class Frame:
     instance_not_in_window: bool = False
     unions: Sequence[DataFrame] = field(default=(), hash=False)
     tie: Sequence[str] = ()
+    block_ms: int | None = None
+    block_rows: int = 1 << 16
 
     def __post_init__(self):
         if self.kind not in ("rows", "rows_range"):
             raise ValueError("a frame is rows or rows_range")
         if self.maxsize is not None and self.kind == "rows":
             raise ValueError("MAXSIZE goes with ROWS_RANGE only")
+        if self.block_ms is not None and (self.start is None or self.block_ms < 1):
+            raise ValueError("only frames with a start can be split into blocks")
+        if self.block_ms is not None and self.kind == "rows" and (self.exclude_current_time or self.instance_not_in_window):
+            raise ValueError("a ROWS frame that skips rows can't be split into blocks")
         if self.end < 0 or self.start is not None and self.start < self.end:
             raise ValueError("a frame lies before the current row and starts before its end")
 
@@ -85,8 +95,16 @@ def prepare(df: DataFrame, frame: Frame) -> DataFrame:
             raise ValueError("a table of a window union has other columns than the first")
         out = out.union(u.toDF(*df.columns).withColumn("__main", F.lit(False)))
     out = out.withColumn("__ms", millis(out, frame.order_by) if frame.order_by else F.lit(0).cast("long"))
-    out = out.filter(F.col("__ms") >= 0)
+    out = out.filter(F.col("__ms") >= 0).withColumn("__out", F.col("__main"))
     by = list(frame.partition_by)
+    if frame.block_ms is not None and frame.kind == "rows":
+        out = _row_blocks(out, frame)
+        by.append("__block")
+    elif frame.block_ms is not None:
+        # a row is in its own block, and for context in each later one whose windows still reach it
+        own, reached = floor_div(F.col("__ms"), frame.block_ms), floor_div(F.col("__ms") + frame.start, frame.block_ms)
+        out = out.withColumn("__block", F.explode(F.sequence(own, reached))).withColumn("__out", F.col("__main") & (F.col("__block") == own))
+        by.append("__block")
     order = ["__main", *frame.tie]
     if frame.kind == "rows_range" or frame.exclude_current_time or frame.instance_not_in_window:
         # both numbers over the same partition and sort as the frames themselves: no shuffle of their own
@@ -100,9 +118,31 @@ def prepare(df: DataFrame, frame: Frame) -> DataFrame:
     return out
 
 
+def _row_blocks(df: DataFrame, frame: Frame) -> DataFrame:
+    """Rows in blocks of ``block_rows`` of their key, each with the ``start`` rows before it for context.
+
+    A row's number in its key is the number of rows in earlier spans of ``block_ms``, from a small table of counts, and its
+    number in its span. So no task sees more of a key than a span or a block.
+    """
+    keys, size = list(frame.partition_by), max(frame.block_rows, frame.start or 1)
+    df = df.withColumn("__span", floor_div(F.col("__ms"), frame.block_ms))
+    counts = df.groupBy(*keys, "__span").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__span").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = F.col("__span") == F.col("__s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__span").orderBy("__ms", "__main", *frame.tie))
+    at = df.withColumn("__within", within).join(counts, same).withColumn("__number", F.col("__before") + F.col("__within") - 1)
+    own = floor_div(F.col("__number"), size)
+    more = F.when(F.col("__number") >= (own + 1) * size - frame.start, F.array(own, own + 1)).otherwise(F.array(own))
+    at = at.withColumn("__block", F.explode(more)).withColumn("__out", F.col("__main") & (F.col("__block") == own))
+    return at.drop(*[f"__k{i}" for i in range(len(keys))], "__s", "__before", "__within", "__number", "__span")
+
+
 def finish(df: DataFrame) -> DataFrame:
     """Output rows only, without helper columns."""
-    return df.filter("__main").drop(*[c for c in df.columns if c.startswith("__")])
+    return df.filter("__out").drop(*[c for c in df.columns if c.startswith("__")])
 
 
 class Scope:
@@ -113,6 +153,8 @@ class Scope:
 
     def __init__(self, df: DataFrame, frame: Frame | None = None, order: Sequence[str] = ()):
         """Without a frame, of a group; ``order`` are then the columns that say which row is oldest."""
+        if frame is not None and frame.block_ms is not None:
+            frame = replace(frame, partition_by=[*frame.partition_by, "__block"])
         self.df, self.frame, self.order = df, frame, list(order)
         self.native: Callable[[Column], Column] | None = None
         if frame is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,10 @@ from tidemark.operators.joins import asof_join, last_join, last_join_where, left
 from tidemark.operators.preagg import build_buckets, long_window, merge_buckets
 from tidemark.operators.ttl import retain
 from tidemark.plans.dialect import compile_query
+from tidemark.plans.session import Session
+from tidemark.sources.streams import file_rows
+from tidemark.streaming.live import live_sessions
+from tidemark.timeutil import micros
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,8 +80,10 @@ def _window(name: str, frame: Frame, inside: str, newest: int | None = None, uni
 _window("window_rows", BASE.rows(3), "x.rn BETWEEN c.rn - 3 AND c.rn")
 _window("window_rows_history", BASE.rows(5, 2), "x.rn BETWEEN c.rn - 5 AND c.rn - 2")
 _window("window_rows_unbounded", BASE.rows(None), "x.rn <= c.rn")
+_window("window_rows_blocks", BASE.rows(3, block_ms=24 * HOUR), "x.rn BETWEEN c.rn - 3 AND c.rn")
 _window("window_rows_open", BASE.rows(4, start_open=True), "x.rn BETWEEN c.rn - 3 AND c.rn")
 _window("window_range", BASE.rows_range("1d"), f"x.ms >= c.ms - {24 * HOUR} AND x.rn <= c.rn")
+_window("window_range_blocks", BASE.rows_range("1d", block_ms=48 * HOUR), f"x.ms >= c.ms - {24 * HOUR} AND x.rn <= c.rn")
 _window("window_range_open", BASE.rows_range("1d", start_open=True), f"x.ms > c.ms - {24 * HOUR} AND x.rn <= c.rn")
 _window("window_range_unbounded", BASE.rows_range(None), "x.rn <= c.rn")
 _window("window_range_history", BASE.rows_range("2d", "3h"), f"x.ms BETWEEN c.ms - {48 * HOUR} AND c.ms - {3 * HOUR}")
@@ -151,6 +159,46 @@ def _window_top(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.round(F.col(c) + 0.0, 6) for c in ("f_ratio", "f_entropy")})
 
 
+# ---- statements, files and streams
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; where no checkpoint folder is set, as in tests, one of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("statements", "SELECT c_custkey, c_name, c_nationkey + 1 AS next FROM customer WHERE c_nationkey <> 3 AND c_custkey % 7 <> 0 UNION ALL SELECT -1, 'added', 6 UNION ALL SELECT -2, 'default', 1")
+def _statements(spark: SparkSession, sf: str) -> DataFrame:
+    s = Session(spark, _folder(spark, "statements"))
+    s.register("customer", _table(spark, sf, "customer"))
+    files = _folder(spark, "export")
+    s.sql("CREATE TABLE c (c_custkey bigint NOT NULL, c_name string DEFAULT 'default', c_nationkey int DEFAULT 0)")
+    s.sql(f"SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey != 3 INTO OUTFILE '{files}' OPTIONS (format='csv', mode='overwrite')")
+    s.sql(f"LOAD DATA INFILE '{files}' INTO TABLE c OPTIONS (format='csv', mode='append')")
+    s.sql("INSERT INTO c VALUES (-1, 'added', 5)")
+    s.sql("INSERT INTO c (c_custkey) VALUES (-2)")
+    s.sql("DELETE FROM c WHERE c_custkey % 7 = 0")
+    return s.sql("SELECT c_custkey, c_name, c_nationkey + 1 AS next FROM c")
+
+
+@query(
+    "stream_sessions",
+    """WITH k AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM k)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS events FROM s GROUP BY user_id, s""",
+)
+def _stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream that has read all of a table: every session, the open ones too."""
+    schema = _table(spark, sf, "events").schema
+    rows = file_rows(spark, f"{sf}/events*.parquet", schema)
+    rows = rows.withColumn("at", F.timestamp_micros(micros(rows, "ts")))
+    out = _folder(spark, "sessions")
+    live = live_sessions(rows, ["user_id"], "at", "6 hours", "1 day")
+    writer = live.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out))
+    writer.option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
+
+
 # ---- groups
 
 dialect(

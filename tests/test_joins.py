@@ -64,11 +64,11 @@ def test_long_window(spark):
     history = [(rnd.choice([1, 1, 2]), rnd.randint(0, 100), rnd.choice([None, 1, 5, 9])) for _ in range(80)]
     df = spark.createDataFrame(history, "k int, t bigint, v int")
     asked = spark.createDataFrame([(1, 50), (1, 50), (1, 99), (2, 3), (3, 9)], "k int, t bigint")
-    for where in (None, F.col("v") > 1):
+    for window, where in ((35, None), (35, F.col("v") > 1), (4, None), (10, None)):
         parts = [build_buckets(df.filter(c), ["k"], "t", F.col("v"), 10, where) for c in ("t % 2 = 0", "t % 2 = 1")]
-        got = long_window(asked, df, merge_buckets(*parts), ["k"], "t", F.col("v"), 35, 10, where)
+        got = long_window(asked, df, merge_buckets(*parts), ["k"], "t", F.col("v"), window, 10, where)
         for r in got.collect():
-            vs = [v for k, t, v in history if k == r.k and r.t - 35 <= t <= r.t and v is not None and (where is None or v > 1)]
+            vs = [v for k, t, v in history if k == r.k and r.t - window <= t <= r.t and v is not None and (where is None or v > 1)]
             assert (r["count"], r["sum"], r["min"], r["max"]) == (len(vs), sum(vs) if vs else None, min(vs, default=None), max(vs, default=None))
             assert r["avg"] == (pytest.approx(sum(vs) / len(vs)) if vs else None)
         assert got.count() == 5

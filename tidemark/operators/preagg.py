@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.timeutil import floor_div, millis
@@ -38,17 +38,39 @@ def merge_buckets(*tables: DataFrame) -> DataFrame:
 def long_window(requests: DataFrame, history: DataFrame, buckets: DataFrame, keys: Sequence[str], time: str, value: Column, window_ms: int, bucket_ms: int, where: Column | None = None) -> DataFrame:
     """Requests with ``count``, ``sum``, ``avg``, ``min`` and ``max`` over the history of their key in [time - window, time].
 
-    Buckets wholly inside the window come from ``buckets``; the two at its edges from ``history``, which is joined
-    by key and bucket, never by key alone. Equal requests are computed once.
+    Buckets wholly inside the window come from ``buckets``. In the two at its edges the requests take their place among the
+    bucket's rows, and running totals of that bucket answer them; no pairs of requests and rows are built, and a hot key's work is
+    split by bucket. Equal requests are computed once. A NULL key or time matches nothing.
     """
     asked = requests.select(*keys, millis(requests, time).alias("__t")).distinct()
     first, last = floor_div(F.col("__t") - window_ms, bucket_ms), floor_div(F.col("__t"), bucket_ms)
     inner = asked.withColumn("bucket", F.explode(F.when(last - first > 1, F.sequence(first + 1, last - 1)).otherwise(F.array().cast("array<bigint>"))))
     whole = inner.join(buckets, [*keys, "bucket"]).select(*keys, "__t", *MERGE)
+
     rows = history if where is None else history.filter(where)
-    rows = rows.select(*keys, millis(rows, time).alias("__at"), value.alias("__v")).withColumn("bucket", floor_div(F.col("__at"), bucket_ms))
-    edge = asked.withColumn("bucket", F.explode(F.array_distinct(F.array(first, last)))).join(rows, [*keys, "bucket"]).filter((F.col("__at") >= F.col("__t") - window_ms) & (F.col("__at") <= F.col("__t")))
-    edge = edge.groupBy(*keys, "__t").agg(*_partials(F.col("__v")))
-    found = whole.unionByName(edge).groupBy(*keys, "__t").agg(*[f(c).alias(c) for c, f in MERGE.items()])
+    none = F.lit(None).cast("bigint")
+    rows = rows.select(*keys, millis(rows, time).alias("__at"), value.alias("__v"), none.alias("__t")).filter("__at IS NOT NULL")
+    kind = rows.schema["__v"].dataType
+
+    def placed(of: DataFrame, at: Column, side: int) -> DataFrame:
+        return of.select(*keys, at.alias("__at"), F.lit(None).cast(kind).alias("__v"), "__t").withColumn("__side", F.lit(side))
+
+    # each request stands at both ends of its window; where both lie in one bucket, once
+    apart = asked if window_ms >= bucket_ms else asked.filter(first < last)
+    every = rows.withColumn("__side", F.lit(0)).unionByName(placed(apart, F.col("__t"), 1)).unionByName(placed(apart, F.col("__t") - window_ms, 2))
+    by = Window.partitionBy(*keys, "bucket")
+    frames = [by.orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0), by.orderBy(F.col("__at").desc(), "__side").rowsBetween(Window.unboundedPreceding, 0)]
+    if window_ms < bucket_ms:
+        every = every.unionByName(placed(asked.filter(first == last), F.col("__t"), 3))
+        frames.append(by.orderBy("__at").rangeBetween(-window_ms, 0))
+    every = every.withColumn("bucket", floor_div(F.col("__at"), bucket_ms))
+
+    def totals(frame: WindowSpec) -> Column:
+        return F.struct(*[f("__v").over(frame).alias(n) for f, n in zip((F.count, F.sum, F.min, F.max), MERGE)])
+
+    sides = [F.when(F.col("__side") == k, totals(f)) for k, f in enumerate(frames, 1)]
+    edge = every.withColumn("__e", F.coalesce(*sides)).filter("__side > 0").select(*keys, "__t", "__e.*")
+    whole = whole.unionByName(edge)
+    found = whole.groupBy(*keys, "__t").agg(*[f(c).alias(c) for c, f in MERGE.items()])
     out = requests.withColumn("__t", millis(requests, time)).join(found, [*keys, "__t"], "left")
     return out.select(*requests.columns, F.coalesce("count", F.lit(0)).alias("count"), "sum", (F.col("sum") / F.nullif(F.col("count"), F.lit(0))).alias("avg"), "min", "max")

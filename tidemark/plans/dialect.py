@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import aggregates, fingerprint, scalar, signature
 from tidemark.operators.features import Feature, group_features, window_features
 from tidemark.operators.frames import Frame, interval_ms
-from tidemark.operators.joins import last_join
+from tidemark.operators.joins import asof_join, last_join
 from tidemark.plans.grammar import Call, Join, Literal, Name, Op, Parameter, Select, SetOp, Source, SqlError, Star, WindowSpec, With, parse_query
 
 #: Aggregates that are also scalar names only over a list, or that need a window.
@@ -122,10 +122,23 @@ class Compiler:
             where = c if where is None else where & c
         if where is not None:
             right = right.filter(where)
+        asof = self.as_of(rest, order, mine, scope) if pairs and j.order_by is not None else None
+        if asof is not None:
+            kinds = dict(right.dtypes)
+            tie = [c for c in right.columns if c != order and not kinds[c].startswith("map")]
+            return asof_join(left, right, pairs, asof[0], order, tie, asof[1])
         if rest or not pairs:
             return _last_join_any(left, right, pairs, [self.value(p, both) for p in rest], order)
         return last_join(left, right, pairs, order)
 
+    def as_of(self, rest: list, order: str, mine: set[str], scope: Scope) -> tuple[str, bool] | None:
+        """The left column and whether it is strict, if the rest is "right order column before left column"."""
+        if len(rest) != 1 or not isinstance(rest[0], Op) or rest[0].name not in ("<", "<=", ">", ">=") or not all(isinstance(a, Name) for a in rest[0].args):
+            return None
+        a, b = (scope.find(x.parts) for x in rest[0].args)
+        early, late = (a, b) if rest[0].name[0] == "<" else (b, a)
+        return (late, len(rest[0].name) == 1) if early == order and late in mine else None
+
     def columns_of(self, e, scope: Scope) -> set[str]:
         if isinstance(e, Name):
             return {scope.find(e.parts)}

@@ -272,6 +272,9 @@ def _asof(spark: SparkSession, sf: str) -> DataFrame:
     return asof_join(_table(spark, sf, "udaf_t").select("id", "c1", "c7"), right, ["c1"], "c7", "r_c4", ["r_c3", "r_c2"], columns=["r_c3", "r_c4"]).drop("c1", "c7")
 
 
+dialect("dialect_asof", "SELECT a.id, max_c3 AS r_c3, b.c4 AS r_c4 FROM udaf_t AS a LAST JOIN (SELECT c1, c4, max(c3) AS max_c3 FROM lastjoin_t2 GROUP BY c1, c4) AS b ORDER BY b.c4 ON a.c1 = b.c1 AND b.c4 <= a.c7", _ASOF)
+
+
 @query("last_join_any_condition", _ASOF)
 def _theta(spark: SparkSession, sf: str) -> DataFrame:
     right = _table(spark, sf, "lastjoin_t2").select("c1", F.col("c2").alias("r_c2"), F.col("c3").alias("r_c3"), F.col("c4").alias("r_c4"))

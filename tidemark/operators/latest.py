@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 def latest_version(df: DataFrame, key: str, version: Column, columns: dict[str, Column]) -> DataFrame:
     """One row per ``key``: ``columns`` of the row with the greatest ``version``.
 
-    A row whose key is NULL has no identity and stands for itself. A NULL version is the least. Among equal
-    versions the row that is greatest column by column (NULL least) holds, so the result doesn't depend on
-    the order of rows. The maximum is combined before the shuffle, so a key that holds much of the table
-    sends one row per task.
+    A row whose key is NULL has no identity and stands for itself: such rows take no part in the grouping and are added
+    to it. A NULL version is the least. Among equal versions the row that is greatest column by column (NULL
+    least) holds, so the result doesn't depend on the order of rows. The maximum is combined before the
+    shuffle, so a key that holds much of the table sends one row per task.
     """
-    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
     packed = F.struct(version.alias("__version"), *[c.alias(n) for n, c in columns.items()])
-    held = df.select(F.col(key), alone.alias("__alone"), packed.alias("__row")).groupBy(key, "__alone").agg(F.max("__row").alias("__row"))
-    return held.select(key, *[F.col("__row")[n].alias(n) for n in columns])
+    named = F.col(key).isNotNull()
+    held = df.filter(named).select(F.col(key), packed.alias("__row")).groupBy(key).agg(F.max("__row").alias("__row"))
+    held = held.select(key, *[F.col("__row")[n].alias(n) for n in columns])
+    return held.unionByName(df.filter(~named).select(F.col(key), *[c.alias(n) for n, c in columns.items()]))

@@ -207,7 +207,10 @@ class Compiler:
             done[c] = F.col(f.alias)
         if not features:
             return scope.df.select(*keys).distinct()
-        return group_features(scope.df, keys, features, order=[])
+        # order-sensitive aggregates take the rows of a group by time, then by all columns
+        kinds = dict(scope.df.dtypes)
+        order = sorted((c for c in scope.df.columns if not kinds[c].startswith("map")), key=lambda c: not kinds[c].startswith("timestamp"))
+        return group_features(scope.df, keys, features, order=order)
 
     def windowed(self, q: Select, scope: Scope, calls: list[Call], done: dict, env: dict[str, DataFrame]) -> DataFrame:
         frames: dict[WindowSpec, list[Feature]] = {}

@@ -142,6 +142,16 @@ def _window_categories(spark: SparkSession, sf: str) -> DataFrame:
     return window_features(_table(spark, sf, "udaf_t"), [(BASE.rows(6), feats)], ["id"])
 
 
+@query(
+    "window_split",
+    _RANKED + """, p AS (SELECT c.rid AS of, x.c9, x.rn FROM r c JOIN r x ON x.c1 IS NOT DISTINCT FROM c.c1 AND x.rn BETWEEN c.rn - 2 AND c.rn WHERE x.c9 IS NOT NULL),
+s AS (SELECT of, string_agg(array_to_string(string_split(c9, 'a'), '|'), '|' ORDER BY rn DESC) AS f_parts FROM p GROUP BY of) SELECT r.id, coalesce(f_parts, '') AS f_parts FROM r LEFT JOIN s ON s.of = r.rid""",
+)
+def _window_split(spark: SparkSession, sf: str) -> DataFrame:
+    out = window_features(_table(spark, sf, "udaf_t"), [(BASE.rows(2), [Feature("window_split", "c9", "a", alias="parts")])], ["id"])
+    return out.select("id", F.array_join("parts", "|").alias("f_parts"))
+
+
 @query(
     "window_top",
     _RANKED + """, p AS (SELECT c.rid AS of, x.c3, x.c9 FROM r c JOIN r x ON x.c1 IS NOT DISTINCT FROM c.c1 AND x.rn BETWEEN c.rn - 6 AND c.rn),
@@ -357,6 +367,20 @@ dialect(
     "SELECT event_id, get_json_object(props, '/k') AS a, json_array_length('[1,2,3]') AS b, array_join(split_array(event_type, 'i'), '+') AS c, join(split(event_type, 'c'), '|') AS d, array_contains(['view', 'click'], event_type) AS e, map('a', event_id)['a'] AS f, array_join(array_combine('-', ['1', '2'], ['3', '4']), ',') AS g, size(split(event_type, 'i')) AS h, join(split_by_key('a:1,b,c:3', ',', ':'), ' ') AS i, join(list_except_by_key(split('a:1,b:2', ','), 'a'), ' ') AS j FROM events",
     "SELECT event_id, json_extract_string(props, '$.k') AS a, 3 AS b, array_to_string(string_split(event_type, 'i'), '+') AS c, array_to_string(string_split(event_type, 'c'), '|') AS d, event_type IN ('view', 'click') AS e, event_id AS f, '1-3,1-4,2-3,2-4' AS g, CAST(len(string_split(event_type, 'i')) AS INTEGER) AS h, 'a c' AS i, 'b:2' AS j FROM events",
 )
+dialect(
+    "functions_math_more",
+    """SELECT c_custkey, round(log(2, c_custkey + 1), 6) AS a, round(acos(c_custkey / 2000), 6) AS b, round(asin(c_custkey / 2000), 6) AS c, round(tan(c_custkey), 3) AS d, round(cot(c_custkey + 1), 3) AS e, round(atan2(c_custkey, 7), 6) AS f, round(atan(c_custkey, 7), 6) AS g, round(radians(c_custkey), 6) AS h,
+round(exp(c_custkey / 1000), 6) AS i, round(ln(c_custkey + 1), 6) AS j, add(c_custkey, 5) AS k, identity(c_custkey) AS l, round(c_acctbal, 1) AS m, c_custkey + 1 - 2 * 3 AS n, 0 - c_custkey AS o FROM customer WHERE c_custkey < 1500""",
+    """SELECT c_custkey, round(ln(c_custkey + 1) / ln(2), 6) AS a, round(acos(c_custkey / 2000), 6) AS b, round(asin(c_custkey / 2000), 6) AS c, round(tan(c_custkey), 3) AS d, round(1 / tan(c_custkey + 1), 3) AS e, round(atan2(c_custkey, 7), 6) AS f, round(atan2(c_custkey, 7), 6) AS g, round(radians(c_custkey), 6) AS h,
+round(exp(c_custkey / 1000), 6) AS i, round(ln(c_custkey + 1), 6) AS j, c_custkey + 5 AS k, c_custkey AS l, round(c_acctbal, 1) AS m, c_custkey + 1 - 2 * 3 AS n, 0 - c_custkey AS o FROM customer WHERE c_custkey < 1500""",
+)
+dialect(
+    "functions_convert",
+    """SELECT c_custkey, char(65 + c_custkey % 26) AS a, unhex(hex(c_name)) AS b, nvl(int('x'), 7) AS c, ifnull(c_mktsegment, 'none') AS d, datediff('2020-03-01', '2020-02-01') AS e, unix_timestamp(timestamp(c_custkey * 86400000)) AS f, string(date('2020-02-29')) AS g, is_null(date('2020-02-30')) AS h, isin(c_nationkey, [1, 2, 3]) AS i,
+join(list_except_by_value(split('a:1,b:2', ','), '2'), ' ') AS j, join(split_by_value('a:1,b,c:3', ',', ':'), ' ') AS k, array_join(map_keys(map('x', 1, 'y', 2)), '+') AS l, make_tuple(c_custkey, 'q') = make_tuple(c_custkey, 'q') AS m, string(true) AS n, float('1.5') AS o, hex(17.6) AS p, character_length(c_name) AS q, substring(c_name, 1, 3) AS r, float('z') IS NULL AS s FROM customer""",
+    """SELECT c_custkey, chr(CAST(65 + c_custkey % 26 AS INTEGER)) AS a, c_name AS b, 7 AS c, coalesce(c_mktsegment, 'none') AS d, 29 AS e, c_custkey * 86400 AS f, '2020-02-29' AS g, true AS h, c_nationkey IN (1, 2, 3) AS i,
+'a:1' AS j, '1 3' AS k, 'x+y' AS l, true AS m, 'true' AS n, CAST(1.5 AS FLOAT) AS o, '12' AS p, CAST(strlen(c_name) AS INTEGER) AS q, substr(c_name, 1, 3) AS r, true AS s FROM customer""",
+)
 dialect("functions_distance", "SELECT c_custkey, round(earth_distance(c_custkey % 80, 10, 40, c_custkey % 90), 3) AS km FROM customer", "SELECT c_custkey, round(2 * 6372.8 * asin(sqrt(pow(sin((radians(40) - radians(c_custkey % 80)) / 2), 2) + cos(radians(c_custkey % 80)) * cos(radians(40)) * pow(sin((radians(c_custkey % 90) - radians(10)) / 2), 2))), 3) AS km FROM customer")
 dialect(
     "sample_lines",
@@ -405,6 +429,20 @@ def _request(spark: SparkSession, sf: str) -> DataFrame:
     return request_features(requests, history, [(BASE.rows_range("2d"), [Feature("count", "c3", alias="n"), Feature("max", "c3", alias="m")])], ["id"])
 
 
+@query(
+    "deployed_query",
+    f"""SELECT q.id, count(x.c3) + count(DISTINCT q.c3) AS n FROM (SELECT DISTINCT id, c1, c3, c4, c5, c6, c7, c8 FROM union_t) q LEFT JOIN udaf_t x ON x.c1 IS NOT DISTINCT FROM q.c1 AND epoch_ms(x.c7) BETWEEN epoch_ms(q.c7) - {24 * HOUR} AND epoch_ms(q.c7)
+WHERE q.c7 IS NOT NULL AND epoch_ms(q.c7) >= 0 AND q.c1 IS NOT NULL GROUP BY q.id""",
+)
+def _deployed(spark: SparkSession, sf: str) -> DataFrame:
+    """A deployed query answers each distinct row of union_t from the history in udaf_t."""
+    s = Session(spark)
+    columns = ["id", "c1", "c3", "c4", "c5", "c6", "c7", "c8"]
+    s.register("history", _table(spark, sf, "udaf_t").select(*columns))
+    s.sql("DEPLOY recent SELECT id, count(c3) OVER w AS n FROM history WINDOW w AS (PARTITION BY c1 ORDER BY c7 ROWS_RANGE BETWEEN 1d PRECEDING AND CURRENT ROW)")
+    return s.request("recent", _table(spark, sf, "union_t").select(*columns).filter("c1 IS NOT NULL").distinct())
+
+
 dialect(
     "dialect_windows",
     """SELECT id, sum(c3) OVER w1 AS a, count_where(c3, c10) OVER w1 AS b, max(c3) OVER w2 AS c, lag(c3, 1) OVER w1 AS d FROM udaf_t

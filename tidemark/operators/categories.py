@@ -22,38 +22,57 @@ def is_category(name: str) -> bool:
     return bool(_NAME.match(name))
 
 
-def category_features(df: DataFrame, keys: Sequence[str], feature: Feature) -> DataFrame:
-    """``__key`` columns and the encoded feature.
+def _place(feature: Feature) -> int:
+    """Which argument is the category."""
+    return 1 if re.fullmatch(r"\w+_cate", feature.name) and "ratio" not in feature.name else 2
+
+
+def by_category(features: Sequence[Feature]) -> list[list[Feature]]:
+    """Features that share their category column, so that one grouping serves them."""
+    out: dict[str, list[Feature]] = {}
+    for f in features:
+        c = f.args[_place(f)]
+        out.setdefault(c if isinstance(c, str) else c._jc.toString(), []).append(f)
+    return list(out.values())
+
+
+def category_features(df: DataFrame, keys: Sequence[str], features: Sequence[Feature]) -> DataFrame:
+    """``__key`` columns and the encoded features, all over the same category column.
 
     First one row per key and category, combined before the shuffle; then the categories of a key are put
     together, which is as many entries as it has categories, not rows.
     """
-    m = _NAME.match(feature.name)
     col = lambda a: F.col(a) if isinstance(a, str) else a
-    how = m.group(1) or m.group(4) or "ratio"
-    if m.group(1) and not m.group(2):
-        (x, category), cond, n = map(col, feature.args), F.lit(True), None
-    elif m.group(1):
-        (x, cond, category), n = map(col, feature.args), None
-    else:
-        x, cond, category = map(col, feature.args[:3])
-        n = feature.args[3]
-    key_kind, x_kind = (df.select(c.alias("x")).schema["x"].dataType.simpleString() for c in (category, x))
-    cond = F.coalesce(cond, F.lit(False))
-    known = x.isNotNull() & category.isNotNull() & (F.lit(True) if how == "ratio" else cond)
-    value: Column = {
-        "count": lambda: F.count(F.lit(1)),
-        "sum": lambda: wrapped(F.sum(x.cast("double" if x_kind in ("float", "double") else "bigint")), x_kind),
-        "avg": lambda: F.avg(x.cast("double")),
-        "min": lambda: F.min(x),
-        "max": lambda: F.max(x),
-        "ratio": lambda: F.avg(cond.cast("double")),
-    }[how]()
-    each = df.filter(known).groupBy(*[F.col(k).alias(f"__{k}") for k in keys], category.alias("__c")).agg(value.alias("__v"))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("__c").alias("k"), F.col("__v").alias("v"))))
-    found = each.groupBy(*[f"__{k}" for k in keys]).agg(pairs.alias("__p"))
-    best = F.col("__p")
-    if n is not None:
-        best = (top_keys if (m.group(3) or m.group(5)) == "key" else top_values)(best, n)
-    kind = "double" if how == "ratio" else value_kind(how, x_kind)
-    return found.select(*[f"__{k}" for k in keys], encode(best, key_kind, kind).alias(feature.alias))
+    kind_of = lambda c: df.select(c.alias("x")).schema["x"].dataType.simpleString()
+    category = col(features[0].args[_place(features[0])])
+    values, outputs = [], []
+    for n, feature in enumerate(features):
+        m = _NAME.match(feature.name)
+        how = m.group(1) or m.group(4) or "ratio"
+        x = col(feature.args[0])
+        cond = F.coalesce(col(feature.args[1]), F.lit(False)) if _place(feature) == 2 else F.lit(True)
+        kind = kind_of(x)
+        use = x.isNotNull() if how == "ratio" else x.isNotNull() & cond
+        number = F.when(use, x.cast("double" if how == "avg" or kind in ("float", "double") else "bigint")) if how in ("sum", "avg") else None
+        value: Column = {
+            "count": lambda use=use: F.nullif(F.count_if(use), F.lit(0)),
+            "sum": lambda number=number, kind=kind: wrapped(F.sum(number), kind),
+            "avg": lambda number=number: F.avg(number),
+            "min": lambda use=use, x=x: F.min(F.when(use, x)),
+            "max": lambda use=use, x=x: F.max(F.when(use, x)),
+            "ratio": lambda use=use, cond=cond: F.avg(F.when(use, cond.cast("double"))),
+        }[how]()
+        values.append(value.alias(f"__v{n}"))
+        pairs = F.array_sort(F.collect_list(F.when(F.col(f"__v{n}").isNotNull(), F.struct(F.col("__c").alias("k"), F.col(f"__v{n}").alias("v")))))
+        outputs.append((feature, pairs.alias(f"__p{n}"), m.group(3) or m.group(5), "double" if how == "ratio" else value_kind(how, kind)))
+    each = df.filter(category.isNotNull()).groupBy(*[F.col(k).alias(f"__{k}") for k in keys], category.alias("__c")).agg(*values)
+    found = each.groupBy(*[f"__{k}" for k in keys]).agg(*[p for _, p, _, _ in outputs])
+    key_kind = kind_of(category)
+
+    def text(n: int, feature: Feature, top: str | None, kind: str) -> Column:
+        best = F.col(f"__p{n}")
+        if top:
+            best = (top_keys if top == "key" else top_values)(best, feature.args[3])
+        return encode(best, key_kind, kind).alias(feature.alias)
+
+    return found.select(*[f"__{k}" for k in keys], *[text(n, f, top, kind) for n, (f, _, top, kind) in enumerate(outputs)])

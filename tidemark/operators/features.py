@@ -64,19 +64,22 @@ def request_features(requests: DataFrame, history: DataFrame, frames: Sequence[t
 
 
 def group_features(df: DataFrame, keys: Sequence[str], features: Sequence[Feature], order: Sequence[str] = (), having: Column | None = None) -> DataFrame:
-    """Aggregates per group. Aggregates by category are computed per category first, so no group is collected whole."""
-    from tidemark.operators.categories import category_features, is_category
+    """Aggregates per group. Aggregates by category are computed per category first, so no group is collected whole.
+
+    Those over the same category column share one grouping. Aggregates that need a group's values in ``order`` or as
+    a list (``ew_avg``, ``drawdown``, ``top``, ``entropy``, ...) collect that group; the others don't.
+    """
+    from tidemark.operators.categories import by_category, category_features, is_category
 
     plain = [f for f in features if not is_category(f.name)]
-    by_category = [f for f in features if is_category(f.name)]
     scope = Scope(df, order=order)
     out = df.groupBy(*keys).agg(*[f.column(scope) for f in plain] or [F.count(F.lit(1)).alias("__rows")])
-    for f in by_category:
-        part = category_features(df, keys, f)
-        same = [out[k].eqNullSafe(part[f"__{k}"]) for k in keys]
-        cond = same[0] if same else F.lit(True)
-        for s in same[1:]:
-            cond = cond & s
-        out = out.join(part, cond, "left").drop(*[f"__{k}" for k in keys]).withColumn(f.alias, F.coalesce(f.alias, F.lit("")))
+    for shared in by_category([f for f in features if is_category(f.name)]):
+        part = category_features(df, keys, shared)
+        cond = F.lit(True)
+        for n, k in enumerate(keys):
+            same = out[k].eqNullSafe(part[f"__{k}"])
+            cond = same if n == 0 else cond & same
+        out = out.join(part, cond, "left").drop(*[f"__{k}" for k in keys]).withColumns({f.alias: F.coalesce(f.alias, F.lit("")) for f in shared})
     out = out.select(*keys, *[f.alias for f in features])
     return out if having is None else out.filter(having)

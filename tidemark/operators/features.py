@@ -64,22 +64,31 @@ def request_features(requests: DataFrame, history: DataFrame, frames: Sequence[t
 
 
 def group_features(df: DataFrame, keys: Sequence[str], features: Sequence[Feature], order: Sequence[str] = (), having: Column | None = None) -> DataFrame:
-    """Aggregates per group. Aggregates by category are computed per category first, so no group is collected whole.
+    """Aggregates per group.
 
-    Those over the same category column share one grouping. Aggregates that need a group's values in ``order`` or as
-    a list (``ew_avg``, ``drawdown``, ``top``, ``entropy``, ...) collect that group; the others don't.
+    Aggregates by category, and those that need how often each value occurs, are computed per category or value
+    first, so no group is collected whole; those over the same column share one grouping. Only the aggregates whose
+    result depends on the order of a group's rows (``ew_avg``, ``drawdown``, ``nth_value_where``, the splits) collect
+    it, oldest first by ``order``: for large groups use them over windows.
     """
     from tidemark.operators.categories import by_category, category_features, is_category
+    from tidemark.operators.tallies import by_value, empty, is_tally, tally_features
 
-    plain = [f for f in features if not is_category(f.name)]
+    plain = [f for f in features if not is_category(f.name) and not is_tally(f.name)]
     scope = Scope(df, order=order)
     out = df.groupBy(*keys).agg(*[f.column(scope) for f in plain] or [F.count(F.lit(1)).alias("__rows")])
-    for shared in by_category([f for f in features if is_category(f.name)]):
-        part = category_features(df, keys, shared)
+
+    def joined(whole: DataFrame, part: DataFrame, missing: dict[str, Column]) -> DataFrame:
         cond = F.lit(True)
         for n, k in enumerate(keys):
-            same = out[k].eqNullSafe(part[f"__{k}"])
+            same = whole[k].eqNullSafe(part[f"__{k}"])
             cond = same if n == 0 else cond & same
-        out = out.join(part, cond, "left").drop(*[f"__{k}" for k in keys]).withColumns({f.alias: F.coalesce(f.alias, F.lit("")) for f in shared})
+        return whole.join(part, cond, "left").drop(*[f"__{k}" for k in keys]).withColumns({a: F.coalesce(F.col(a), c) for a, c in missing.items()})
+
+    for shared in by_category([f for f in features if is_category(f.name)]):
+        out = joined(out, category_features(df, keys, shared), {f.alias: F.lit("") for f in shared})
+    for shared in by_value([f for f in features if is_tally(f.name)]):
+        for part in tally_features(df, keys, shared):
+            out = joined(out, part, {f.alias: empty(f) for f in shared if f.alias in part.columns})
     out = out.select(*keys, *[f.alias for f in features])
     return out if having is None else out.filter(having)

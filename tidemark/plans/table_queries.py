@@ -238,6 +238,16 @@ dialect(
 )
 
 
+dialect(
+    "group_tallies",
+    "SELECT c1, round(entropy(c9) + 0, 6) AS e, round(top1_ratio(c9), 6) AS r, top(c3, 3) AS t, topn_frequency(c9, 3) AS f FROM udaf_t GROUP BY c1",
+    """WITH n AS (SELECT c1, c9, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER (PARTITION BY c1) AS t, row_number() OVER (PARTITION BY c1 ORDER BY count(*) DESC, encode(c9)) AS k FROM udaf_t WHERE c9 IS NOT NULL GROUP BY c1, c9),
+a AS (SELECT c1, round(-sum(n / t * log2(n / t)) + 0.0, 6) AS e, round(max(n) / max(t), 6) AS r, string_agg(c9, ',' ORDER BY k) FILTER (WHERE k <= 3) || repeat(',NULL', CAST(greatest(3 - count(*), 0) AS BIGINT)) AS f FROM n GROUP BY c1),
+q AS (SELECT c1, c3, row_number() OVER (PARTITION BY c1 ORDER BY c3 DESC) AS k FROM udaf_t WHERE c3 IS NOT NULL), b AS (SELECT c1, string_agg(CAST(c3 AS VARCHAR), ',' ORDER BY k) AS t FROM q WHERE k <= 3 GROUP BY c1)
+SELECT g.c1, a.e, coalesce(a.r, 0.0) AS r, coalesce(b.t, '') AS t, coalesce(a.f, 'NULL,NULL,NULL') AS f FROM (SELECT DISTINCT c1 FROM udaf_t) g LEFT JOIN a ON a.c1 IS NOT DISTINCT FROM g.c1 LEFT JOIN b ON b.c1 IS NOT DISTINCT FROM g.c1""",
+)
+
+
 @query(
     "group_categories",
     """WITH g AS (SELECT event_type, user_id, count(*) AS n, max(event_id) AS m, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 6) AS q FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2),

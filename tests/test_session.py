@@ -45,6 +45,13 @@ def test_scalars(session):
     assert list(got) == ["ell", "", 4, None, 1, None, float("inf"), None, None, False, True, True, 2, 3, True, None, "2", "a|c", 1, "11", None, "2020/05/29 07:56", "y", True, False, True, True, 2, 5, -2, True, "aa"]
 
 
+def test_more_forms(session):
+    q = """SELECT !(1 > 2), array_contains(ARRAY<INT64>[NULL, 1, 2], 1), CAST(12 AS VARCHAR(60)), map(1, "2", 3, "4")[3] # a comment
+    , size(ARRAY<double>[]), - 3 + 1, "it's", 'a''b', 1e3, 1.5f, 10L -- another
+    , /* and one */ x.c1 FROM a x LAST JOIN b ORDER BY b.c2 ASC ON x.c1 = b.c1 WHERE !isnull(x.c1) LIMIT 1"""
+    assert list(session.sql(q).first())[:11] == [True, True, "12", "4", 0, -2, "it's", "a'b", 1000.0, 1.5, 10]
+
+
 def test_sample_lines(session):
     q = "SELECT csv(multiclass_label(6), continuous(1.5), discrete(3)), libsvm(multiclass_label(6), continuous(1.5), discrete(3)), gcformat(gcformat_index(2), continuous(1), discrete(3, 100)), csv(discrete(3, -1), discrete(3, 1000), continuous(int('x'))), libsvm(discrete(3, 1000)), gcformat()"
     assert list(session.sql(q).first()) == ["6,1.500000,2681491882390849628", "6 1:1.500000 2681491882390849628:1", " 2| 1:5925585971146611297:1 2:28", ",628,", "629:1", " | "]

@@ -309,6 +309,8 @@ class Compiler:
         if e.name == "rlike":
             return scalar.regexp_like(v(e.args[0]), self.argument(e.args[1], scope, done))
         args = [v(a) for a in e.args]
+        if e.name == "cast" and e.more.startswith("array"):
+            return args[0].cast(e.more)
         if e.name == "cast":
             return scalar.REGISTRY["bool"](args[0]) if e.more == "boolean" and self.type_of(args[0], scope) == "string" else scalar.timestamp(args[0]) if e.more == "timestamp" else args[0].try_cast(e.more)
         if e.name in ("+", "-") and len(args) == 2:

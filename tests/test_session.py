@@ -26,6 +26,13 @@ def test_range_window_keeps_types(session):
     assert rows(got) == [(1, 1, 5, 1), (2, 3, 10, 3), (3, 3, 55, 1), (4, 7, 110, 3), (5, 12, 165, 6)]
 
 
+def test_conditions_on_aggregates_of_the_frame(session):
+    q = "SELECT col1, count_where(col1, col5 = first_value(col5)) OVER w AS a, sum_where(col1, col1 < max(col1)) OVER w AS b, count_where(*, col4 >= avg(col4)) OVER w AS c FROM t1 WINDOW w AS (PARTITION BY col2 ORDER BY col5 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    assert rows(session.sql(q)) == [(1, 1, None, 1), (2, 1, 1, 1), (3, 1, None, 1), (4, 1, 3, 1), (5, 1, 7, 2)]
+    with pytest.raises(SqlError):
+        session.sql("SELECT top(col1, max(col1)) OVER (PARTITION BY col2 ORDER BY col5 ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t1")
+
+
 def test_group_by_having(session):
     assert rows(session.sql("SELECT col2, sum(col1) AS s, sum(col5) AS t FROM t1 GROUP BY col2")) == [(5, 3, 3), (55, 12, 6)]
     assert rows(session.sql("SELECT col2, count_cate(col1, col0) AS s FROM t1 GROUP BY col2 HAVING sum(col1) > 5")) == [(55, "1:2,2:1")]

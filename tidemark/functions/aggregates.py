@@ -280,6 +280,12 @@ def last_value(s: Scope, x: Column, known: bool = False) -> Column:
     return s.last(x, known)
 
 
+@aggregate("frame_rows")
+def frame_rows(s: Scope, x: Column) -> Column:
+    """The values of all rows of the frame, oldest first."""
+    return s.rows(x)
+
+
 @aggregate("lag", "at")
 def lag(s: Scope, x: Column, n) -> Column:
     """n rows before the current one in the partition, whatever the frame."""

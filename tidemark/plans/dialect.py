@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import aggregates, fingerprint, scalar, signature
 from tidemark.operators.features import Feature, group_features, window_features
 from tidemark.operators.frames import Frame, interval_ms
+from tidemark.operators.frames import Scope as FrameScope
 from tidemark.operators.joins import asof_join, last_join
 from tidemark.plans.grammar import Call, Join, Literal, Name, Op, Parameter, Select, SetOp, Source, SqlError, Star, WindowSpec, With, parse_query
 
@@ -42,9 +43,23 @@ class Scope:
         return found[0]
 
 
+class ListScope(FrameScope):
+    """Aggregates of an array of values of a type."""
+
+    def __init__(self, values: Column, kind: str):
+        self.values, self.kind, self.native, self.frame = values, kind, None, None
+
+    def rows(self, value: Column) -> Column:
+        return self.values
+
+    def type_of(self, x: Column) -> str:
+        return self.kind
+
+
 class Compiler:
     def __init__(self, spark: SparkSession, tables: Callable[[tuple[str, ...]], DataFrame], parameters: Sequence = ()):
         self.spark, self.tables, self.parameters = spark, tables, list(parameters)
+        self.element: Column | None = None  # the row that names stand for, where it isn't the current one
 
     # ---- queries
 
@@ -220,11 +235,40 @@ class Compiler:
                 raise SqlError(f"no window {c.window}")
             if c.name not in aggregates.REGISTRY:
                 raise SqlError(f"no aggregate {c.name}")
+            inner = [x for a in c.args for x in _calls(a)]
+            if inner:
+                frames.setdefault(spec, []).extend(self.nested(c, inner, scope, n, done))
+                continue
             f = self.feature(changed(c, window=None), scope, f"a_{n}", {})
             frames.setdefault(spec, []).append(f)
             done[c] = F.col(f.alias)
         return window_features(scope.df, [(self.frame(s, scope, env), fs) for s, fs in frames.items()])
 
+    def nested(self, call: Call, inner: list[Call], scope: Scope, number: int, done: dict) -> list[Feature]:
+        """A ``*_where`` whose condition compares each row of the frame with aggregates of the same frame."""
+        base = call.name.removesuffix("_where")
+        if base == call.name or base not in ("count", "sum", "avg", "min", "max"):
+            raise SqlError(f"{call.name} takes no aggregate as an argument")
+        features, known = [], {}
+        for k, x in enumerate(inner):
+            features.append(self.feature(x, scope, f"a_{number}_{k}", {}))
+            known[x] = F.col(features[-1].alias)
+        names = sorted({n for a in call.args for n in self.columns_of(a, scope)})
+        features.append(Feature("frame_rows", F.struct(*names), alias=f"a_{number}_rows"))
+        value = F.lit(1) if isinstance(call.args[0], Star) else self.value(call.args[0], scope)
+        kind = self.type_of(value, scope)
+
+        def of(e: Column, arg) -> Column:
+            self.element = e
+            try:
+                return F.lit(1) if isinstance(arg, Star) else self.value(arg, scope, known)
+            finally:
+                self.element = None
+
+        rows = F.filter(F.col(features[-1].alias), lambda e: F.coalesce(of(e, call.args[1]), F.lit(False)))
+        done[call] = aggregates.REGISTRY[base](ListScope(F.transform(rows, lambda e: of(e, call.args[0])), kind), value)
+        return features
+
     def frame(self, spec: WindowSpec, scope: Scope, env: dict[str, DataFrame]) -> Frame:
         if spec.order_by is None and spec.exclude_current_time:
             raise SqlError("EXCLUDE CURRENT_TIME needs ORDER BY")
@@ -267,7 +311,7 @@ class Compiler:
         if isinstance(e, Parameter):
             return F.lit(self.parameters[e.number])
         if isinstance(e, Name):
-            return F.col(f"`{scope.find(e.parts)}`")
+            return F.col(f"`{scope.find(e.parts)}`") if self.element is None else self.element[scope.find(e.parts)]
         if isinstance(e, Call):
             return done[e] if e in done else self.call(e, scope, done)
         return self.operator(e, scope, done)

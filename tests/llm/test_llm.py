@@ -186,8 +186,8 @@ def test_forms_of_a_passage(spark):
     other = [None, "", " ".join(p.split()[:10]), " ".join(sorted(p.split())), " ".join(passage(rnd, 400)), " ".join(w if i % 3 else "changed" for i, w in enumerate(p.split()))]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(forms + other)], "doc_id bigint, text string, item_id int").repartition(2)
     items = spark.createDataFrame([(1, p, "x"), (2, p.lower(), "x"), (3, None, "x"), (4, "too short", "x"), (None, p, "x")], "item_id bigint, passage string, text string")
-    for block in (1, 1000):
-        got = {tuple(r) for r in leakage.leaks(docs, items, block=block).collect()}
+    for block in (1, 1_000_000):
+        got = {tuple(r) for r in leakage.leaks(docs, items, block_characters=block).collect()}
         assert got == {(d, i) for d in range(len(forms)) for i in (1, 2)}
     assert leakage.leaks(docs.filter("false"), items).collect() == [] == leakage.leaks(docs, items.filter("false")).collect()
 

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.normal import words_line
 
@@ -88,7 +90,7 @@ class Passages:
         vocabulary: dict[bytes, int] = {}
         coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in words]
         least = np.array([least_shared(w) for w in words], np.int64)
-        return cls([i for i, _ in rows], words, grams, np.append(start, len(gram)), item[order].astype(np.int64), place[order].astype(np.int64), least, table, [word_numbers(x) for x in lines], vocabulary, coded)
+        return cls([i for i, _ in rows], words, grams, np.append(start, len(gram)), item[order].astype(np.int32), place[order].astype(np.int32), least, table, [word_numbers(x) for x in lines], vocabulary, coded)
 
 
 def word_numbers(line: np.ndarray) -> np.ndarray:
@@ -148,7 +150,8 @@ def _places(at: np.ndarray, found: np.ndarray, index: Passages) -> tuple[np.ndar
     where = np.repeat(at, many)
     within = np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
     hit = np.repeat(index.start[found], many) + within
-    return where, index.item[hit], where - index.place[hit], index.place[hit]
+    item, place = index.item[hit].astype(np.int64), index.place[hit].astype(np.int64)
+    return where, item, where - place, place
 
 
 def _bands(item: np.ndarray, diagonal: np.ndarray, which: int) -> np.ndarray:
@@ -232,7 +235,7 @@ def leaked_items(text: str | None, index: Passages) -> list[int]:
     return [i for i, diagonals in found.items() if stretch_on(index.coded[i], coded, diagonals)]
 
 
-def _searcher(index):
+def _searcher(index, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = index.value
         for batch in batches:
@@ -242,25 +245,37 @@ def _searcher(index):
                     docs.append(d)
                     items.append(passages.ids[i])
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array([d.as_py() for d in docs], batch.column(0).type), pa.array(items, pa.int64())], names=["doc", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array([d.as_py() for d in docs], batch.column(0).type), pa.array(items, item_type)], names=["doc", "item"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", block: int = 20_000) -> DataFrame:
+def _blocks(items: DataFrame, item_id: str, passage: str, characters: int) -> Iterator[list[tuple]]:
+    """Items with an id and a passage, in blocks whose passages have about as many characters."""
+    block, size = [], 0
+    for row in items.select(item_id, passage).toLocalIterator():
+        if row[0] is not None and row[1]:
+            block.append((row[0], row[1]))
+            size += len(row[1])
+            if size >= characters:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", block_characters: int = 2_000_000) -> DataFrame:
     """Pairs of a document and an item whose passage (16 words of it or more) the document's text holds.
 
     Whole texts are searched; documents are neither shuffled nor compared with each other. The items are the
-    stated query set: blocks of at most ``block`` of them are indexed and broadcast one after the other, so
-    what is broadcast has a bound whatever the number of items, and the results are put together. NULL or
-    short passages and NULL texts match nothing; a repeated document or item gives its pairs once per row.
+    stated query set. They are indexed in blocks of about ``block_characters`` of their passages, and a block's index,
+    some 16 bytes a character, is what is broadcast: it has a bound whatever the number of items, and each further block is another scan.
+    NULL or short passages and NULL texts match nothing; a repeated document or item gives its pairs once per row.
     """
-    kind = documents.schema[doc_id].dataType.simpleString()
+    doc_kind, item_kind = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType
     spark, out = documents.sparkSession, None
     texts = documents.select(doc_id, text)
-    rows = [(r[0], r[1]) for r in items.select(item_id, passage).toLocalIterator() if r[0] is not None and r[1]]
-    for k in range(0, max(1, len(rows)), block):
-        shared = spark.sparkContext.broadcast(Passages.of(rows[k : k + block]))
-        part = texts.mapInArrow(_searcher(shared), f"`{doc_id}` {kind}, `{item_id}` bigint")
+    for block in _blocks(items, item_id, passage, block_characters):
+        part = texts.mapInArrow(_searcher(spark.sparkContext.broadcast(Passages.of(block)), to_arrow_type(item_kind)), f"`{doc_id}` {doc_kind}, `{item_id}` {item_kind.simpleString()}")
         out = part if out is None else out.unionByName(part)
-    return out
+    return texts.filter("false").select(doc_id, F.lit(None).cast(item_kind).alias(item_id)) if out is None else out

@@ -314,6 +314,31 @@ dialect(
 )
 
 
+dialect(
+    "last_join_chain",
+    "SELECT o.o_orderkey, c.c_name, n.n_name, r.r_name FROM orders AS o LAST JOIN customer AS c ORDER BY c.c_custkey ON o.o_custkey = c.c_custkey LAST JOIN nation AS n ORDER BY n.n_nationkey ON c.c_nationkey = n.n_nationkey LEFT JOIN region AS r ON n.n_regionkey = r.r_regionkey AND r.r_regionkey > 0 WHERE o.o_totalprice > 1000",
+    "SELECT o.o_orderkey, c.c_name, n.n_name, r.r_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_regionkey > 0 WHERE o.o_totalprice > 1000",
+)
+dialect(
+    "group_over_join",
+    "SELECT n.n_name, count(*) AS k, round(avg(c.c_acctbal), 2) AS a, min(c.c_name) AS first FROM customer AS c LEFT JOIN nation AS n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING count(*) > 1",
+    "SELECT n.n_name, count(*) AS k, round(avg(c.c_acctbal), 2) AS a, min(c.c_name) AS first FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING count(*) > 1",
+)
+dialect(
+    "window_over_union",
+    "SELECT id, sum(c3) OVER w AS s, count(*) OVER w AS n FROM (SELECT id, c1, c3, c7 FROM udaf_t UNION DISTINCT SELECT id, c1, c3, c7 FROM union_t) AS u WINDOW w AS (PARTITION BY c1 ORDER BY c7 ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
+    """WITH u AS (SELECT id, c1, c3, c7 FROM udaf_t UNION SELECT id, c1, c3, c7 FROM union_t) SELECT id, CAST(sum(c3) OVER w AS INTEGER) AS s, count(*) OVER w AS n FROM u WHERE epoch_ms(c7) >= 0
+WINDOW w AS (PARTITION BY c1 ORDER BY epoch_ms(c7), id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+)
+dialect(
+    "last_join_of_a_window",
+    """SELECT l.c1, l.c3, t.id, t.n FROM lastjoin_t2 AS l LAST JOIN (SELECT id, c1, count(c3) OVER w AS n FROM udaf_t WINDOW w AS (PARTITION BY c1 ORDER BY c7 ROWS_RANGE BETWEEN 5d PRECEDING AND CURRENT ROW)) AS t ORDER BY t.id ON l.c1 = t.c1""",
+    _RANKED
+    + f""", p AS (SELECT c.id, c.c1, c.rid, count(x.c3) AS n FROM r c LEFT JOIN r x ON x.c1 IS NOT DISTINCT FROM c.c1 AND x.rn <= c.rn AND x.ms >= c.ms - {120 * HOUR} GROUP BY c.id, c.c1, c.rid), k AS (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY id DESC, n DESC) AS k FROM p)
+SELECT l.c1, l.c3, k.id, k.n FROM lastjoin_t2 l LEFT JOIN k ON k.c1 = l.c1 AND k.k = 1""",
+)
+
+
 @query(
     "window_over_last_join",
     f"""WITH j AS (SELECT l.id, l.c1, l.c7, r.c3 AS v FROM udaf_t l LEFT JOIN (SELECT *, {_BEST} FROM lastjoin_t2) r ON r.c1 = l.c1 AND r.k = 1 WHERE l.c7 IS NOT NULL AND epoch_ms(l.c7) >= 0)

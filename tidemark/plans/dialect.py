@@ -357,13 +357,16 @@ class Compiler:
             return args[0].cast(e.more)
         if e.name == "cast":
             return scalar.REGISTRY["bool"](args[0]) if e.more == "boolean" and self.type_of(args[0], scope) == "string" else scalar.timestamp(args[0]) if e.more == "timestamp" else args[0].try_cast(e.more)
+        if e.name == "div":
+            kinds = [self.type_of(a, scope) for a in args]
+            return scalar.integer_divide(*args).cast("bigint" if "bigint" in kinds else "int")
         if e.name in ("+", "-") and len(args) == 2:
             kinds = [self.type_of(a, scope) if isinstance(x, (Name, Call)) else "" for a, x in zip(args, e.args)]
             if any(k.startswith("timestamp") for k in kinds):
                 ms = [F.unix_millis(a.cast("timestamp")) if k.startswith("timestamp") else a for a, k in zip(args, kinds)]
                 return F.timestamp_millis(ms[0] + ms[1] if e.name == "+" else ms[0] - ms[1])
         binary = {
-            "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": scalar.divide, "div": scalar.integer_divide, "%": scalar.remainder,
+            "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": scalar.divide, "%": scalar.remainder,
             "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b,
             "and": lambda a, b: a & b, "or": lambda a, b: a | b, "xor": scalar.xor, "&": lambda a, b: a.bitwiseAND(b), "|": lambda a, b: a.bitwiseOR(b), "^": lambda a, b: a.bitwiseXOR(b),
             "||": lambda a, b: scalar.concat(a, b), "index": lambda a, b: a[b],

@@ -202,6 +202,16 @@ def test_a_text_full_of_a_shared_phrase():
     assert leakage.leaked_items(text + rows[7][1], index) == [7]
 
 
+def test_a_long_text_is_searched_in_pieces(monkeypatch):
+    rnd = random.Random(4)
+    p = " ".join(passage(rnd))
+    index = leakage.Passages.of([(1, p), (2, " ".join(passage(rnd)))])
+    for piece in (7, 64, 100):
+        monkeypatch.setattr(leakage, "PIECE", piece)
+        assert leakage.leaked_items("noise and " * 40 + p + " noise" * 40, index) == [0]
+    assert leakage.leaked_items("", index) == leakage.leaked_items(" ", index) == []
+
+
 def test_words_line():
     assert words_line("It's 3.5\\nBIG &amp; <br/>über").tobytes().decode() == " it s 3 5 big über "
     assert words_line(None).tobytes() == b" "

@@ -27,6 +27,8 @@ REACH = 6
 #: Width of a band in characters: six added words of ten and their blanks stray by half of it.
 BAND = 128
 SLICE = 1 << 20
+#: Bytes of a text whose q-grams are made at once.
+PIECE = 1 << 22
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
@@ -95,7 +97,7 @@ class Passages:
 
 def word_numbers(line: np.ndarray) -> np.ndarray:
     """Number of the word that a byte of a line belongs to; a blank belongs to the word after it."""
-    return np.cumsum(line == 32) - 1
+    return np.cumsum(line == 32, dtype=np.int32) - 1
 
 
 def _hashed(grams: np.ndarray) -> np.ndarray:
@@ -105,15 +107,9 @@ def _hashed(grams: np.ndarray) -> np.ndarray:
 
 def candidates(line: np.ndarray, index: Passages) -> dict[int, np.ndarray]:
     """Per item whose q-grams a line shares in sufficient number within a band: the diagonals, in words, on which they lie."""
-    grams = qgrams(line)
-    at = np.flatnonzero(index.filter[_hashed(grams)])
-    if len(at) == 0:
-        return {}
-    found = np.searchsorted(index.grams, grams[at])
-    found[found == len(index.grams)] = 0
-    real = index.grams[found] == grams[at]
-    at, found = at[real], found[real]
-    if len(at) < index.least.min():
+    hits = [_known(line[a : a + PIECE + Q - 1], a, index) for a in range(0, len(line), PIECE)]
+    at, found = (np.concatenate(x) for x in zip(*hits))
+    if len(at) < max(1, index.least.min()):
         return {}
     many = index.start[found + 1] - index.start[found]
     # in slices of places, so that a text that repeats a much shared phrase can't fill the memory with them
@@ -131,13 +127,23 @@ def candidates(line: np.ndarray, index: Passages) -> dict[int, np.ndarray]:
         where, item, place = where[here], item[here], place[here]
         for i in np.unique(item).tolist():
             mine = item == i
-            kept.append(i << 40 | np.unique(word_at[where[mine]] - index.word_at[i][place[mine]] + (1 << 32)))
+            kept.append(i << 40 | np.unique(word_at[where[mine]].astype(np.int64) - index.word_at[i][place[mine]] + (1 << 32)))
     out: dict[int, list[np.ndarray]] = {}
     for k in kept:
         out.setdefault(int(k[0] >> 40), []).append((k & ((1 << 40) - 1)) - (1 << 32))
     return {i: np.unique(np.concatenate(ds)) for i, ds in sorted(out.items())}
 
 
+def _known(piece: np.ndarray, start: int, index: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a piece's q-grams that some item has, and their numbers in the index."""
+    grams = qgrams(piece)
+    at = np.flatnonzero(index.filter[_hashed(grams)])
+    found = np.searchsorted(index.grams, grams[at])
+    found[found == len(index.grams)] = 0
+    real = index.grams[found] == grams[at]
+    return at[real] + start, found[real]
+
+
 def _within(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     at = np.searchsorted(some, keys)
     at[at == len(some)] = 0

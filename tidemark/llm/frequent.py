@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 LEVELS, DEPTH, WIDTH = 4, 7, 8192
 _FLUSH = 1 << 17
-_SKETCH = "field int, level int, row int, counters binary"
+_SKETCH = "field int, level int, row int, part int, counters binary"
+#: Sketches of tasks are added up in so many parts first, and then all parts.
+PARTS = 32
 
 
 def _cells(prefix: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,26 +61,29 @@ def _fill(fields: int):
         for f in range(fields):
             flush(f)
         if rows:
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId() % PARTS
             keys = [(f, level, row) for f in range(fields) for level in range(LEVELS) for row in range(DEPTH)]
-            yield _rows([(-1, 0, 0, np.array([rows], np.int64))] + [(*k, sketch[k]) for k in keys])
+            yield _rows([(-1, 0, 0, part, np.array([rows], np.int64))] + [(*k, part, sketch[k]) for k in keys])
 
     return fill
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32()) for i in range(3)] + [pa.array([r[3].tobytes() for r in rows], pa.binary())], names=["field", "level", "row", "counters"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32()) for i in range(4)] + [pa.array([r[4].tobytes() for r in rows], pa.binary())], names=["field", "level", "row", "part", "counters"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up sketches as they stream by; holds at most one counter row per field, level and row."""
+    """Adds up sketches as they stream by; holds one row of counters per field, level, row and part that comes."""
     total: dict[tuple, np.ndarray] = {}
     for batch in batches:
-        for f, level, row, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for *key, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
             part = np.frombuffer(raw, np.int64)
-            if (f, level, row) in total:
-                total[f, level, row] += part
+            if tuple(key) in total:
+                total[tuple(key)] += part
             else:
-                total[f, level, row] = part.copy()
+                total[tuple(key)] = part.copy()
     if total:
         yield _rows([(*k, v) for k, v in total.items()])
 
@@ -90,7 +95,9 @@ def sketch(df: DataFrame, fields: list[str]) -> tuple[int, np.ndarray]:
     """
     hashed = df.select(*[F.when(F.col(c).isNotNull(), F.shiftrightunsigned(F.xxhash64(c), 32)).alias(c) for c in fields])
     parts = hashed.mapInArrow(_fill(len(fields)), _SKETCH)
-    merged = parts.repartition(LEVELS * len(fields), "field", "level", "row").mapInArrow(_add, _SKETCH)
+    by = ["field", "level", "row"]
+    some = parts.repartition(*by, "part").mapInArrow(_add, _SKETCH).withColumn("part", F.lit(0))
+    merged = some.repartition(LEVELS * len(fields), *by).mapInArrow(_add, _SKETCH)
     rows, counters = 0, np.zeros((len(fields), LEVELS, DEPTH, WIDTH), np.int64)
     for r in merged.collect():
         if r.field < 0:

@@ -28,10 +28,10 @@ def continuous(x: Column) -> Feature:
     return Feature("continuous", x)
 
 
-def discrete(x: Column, bucket: int | None = None, kind: str = "int", sized: bool = True) -> Feature:
-    """The fingerprint of a value of type ``kind``, within ``bucket`` as an unsigned number; a bucket that isn't positive or is NULL (``sized`` with None) gives an empty feature."""
+def discrete(x: Column, bucket: int | None = None, kind: str = "int") -> Feature:
+    """The fingerprint of a value of type ``kind``, as an unsigned number within ``bucket`` if one is given; a bucket that isn't positive gives an empty feature."""
     hashed = hash64(x, kind)
-    if bucket is None and not sized or bucket is None:
+    if bucket is None:
         return Feature("discrete", hashed)
     if bucket <= 0:
         return Feature("discrete", F.lit(None).cast("bigint"), 0)

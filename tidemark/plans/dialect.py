@@ -16,8 +16,6 @@ from tidemark.operators.frames import Scope as FrameScope
 from tidemark.operators.joins import asof_join, last_join
 from tidemark.plans.grammar import Call, Join, Literal, Name, Op, Parameter, Select, SetOp, Source, SqlError, Star, WindowSpec, With, parse_query
 
-#: Aggregates that are also scalar names only over a list, or that need a window.
-_LISTS = {"size", "join", "list_except_by_key", "list_except_by_value", "split", "split_by_key", "split_by_value"}
 _SIGNATURES = {"csv", "libsvm", "gcformat"}
 _TAGS = {"continuous", "discrete", "binary_label", "multiclass_label", "regression_label", "gcformat_index"}
 

@@ -321,8 +321,8 @@ dialect(
 )
 dialect(
     "group_over_join",
-    "SELECT n.n_name, count(*) AS k, round(avg(c.c_acctbal), 2) AS a, min(c.c_name) AS first FROM customer AS c LEFT JOIN nation AS n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING count(*) > 1",
-    "SELECT n.n_name, count(*) AS k, round(avg(c.c_acctbal), 2) AS a, min(c.c_name) AS first FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING count(*) > 1",
+    "SELECT n.n_name, count(*) AS k, round(avg(c.c_acctbal), 6) AS a, min(c.c_name) AS first FROM customer AS c LEFT JOIN nation AS n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING count(*) > 1",
+    "SELECT n.n_name, count(*) AS k, round(avg(c.c_acctbal), 6) AS a, min(c.c_name) AS first FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING count(*) > 1",
 )
 dialect(
     "window_over_union",

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.aggregates import REGISTRY
-from tidemark.operators.frames import Frame, Scope, finish, prepare
+from tidemark.operators.frames import Frame, Scope, finish, prepare, shared
 
 
 class Feature:
-    """An aggregate by name with its arguments (columns, or literals where the aggregate takes some)."""
+    """An aggregate by name with its arguments: columns, or literals where the aggregate takes some.
+
+    A string that is the name of a column of the table stands for the column.
+    """
 
     def __init__(self, name: str, *args, alias: str):
         self.name, self.args, self.alias = name.lower(), args, alias
@@ -27,17 +30,23 @@ class Feature:
 def window_features(df: DataFrame, frames: Sequence[tuple[Frame, Sequence[Feature]]], keep: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``df`` with features over several frames.
 
-    Frames without union tables over the same partition are evaluated side by side; each frame with union tables
-    adds its rows to one pass. Rows without a valid time are left out, as every frame needs one.
+    Frames over the same partition, order and union tables share one preparation of their rows, so they cost one
+    shuffle, and one sort for each order; others add a pass each. Rows without a valid time are left out, as every frame needs one.
     """
     keep = list(keep or df.columns)
-    out, done = df, []
+    groups: dict[tuple, list[tuple[Frame, Sequence[Feature]]]] = {}
     for frame, features in frames:
-        rows = prepare(out, replace(frame, unions=[_padded(u, df, out) for u in frame.unions]))
-        scope = Scope(rows, frame)
-        columns = {f.alias: f.column(scope) for f in features}
-        out = finish(scope.df.withColumns(columns))
-        done += [f.alias for f in features]
+        groups.setdefault(shared(frame), []).append((frame, features))
+    out, done = df, []
+    for together in groups.values():
+        unions = [_padded(u, df, out) for u in together[0][0].unions]
+        rows = prepare(out, *[replace(frame, unions=unions) for frame, _ in together])
+        for frame, features in together:
+            scope = Scope(rows, frame)
+            columns = {f.alias: f.column(scope) for f in features}
+            rows = scope.df.withColumns(columns)
+            done += list(columns)
+        out = finish(rows)
     return out.select(*keep, *[d for d in done if d not in keep])
 
 

@@ -83,12 +83,20 @@ class Frame:
         return replace(self, kind="rows_range", start=None if start is None else interval_ms(start), end=interval_ms(end), **more)
 
 
-def prepare(df: DataFrame, frame: Frame) -> DataFrame:
+def shared(frame: Frame) -> tuple:
+    """Frames with the same of this can be evaluated over one preparation of their rows."""
+    split = id(frame) if frame.block_ms is not None else None
+    return tuple(frame.partition_by), frame.order_by, tuple(frame.tie), tuple(map(id, frame.unions)), split
+
+
+def prepare(df: DataFrame, frame: Frame, *others: Frame) -> DataFrame:
     """The rows of ``df`` and of the frame's union tables, with helper columns; rows without a valid time are left out.
 
     ``__main`` is false for rows of union tables, ``__ms`` the time, ``__seq`` a total order of each time's
-    rows, ``__key`` time and order in one number. A column that a union table lacks is an error.
+    rows, ``__key`` time and order in one number. A column that a union table lacks is an error. ``others`` are frames
+    that share the rows.
     """
+    every = (frame, *others)
     out = df.withColumn("__main", F.lit(True))
     for u in frame.unions:
         if len(u.columns) != len(df.columns):
@@ -106,15 +114,15 @@ def prepare(df: DataFrame, frame: Frame) -> DataFrame:
         out = out.withColumn("__block", F.explode(F.sequence(own, reached))).withColumn("__out", F.col("__main") & (F.col("__block") == own))
         by.append("__block")
     order = ["__main", *frame.tie]
-    if frame.kind == "rows_range" or frame.exclude_current_time or frame.instance_not_in_window:
+    if any(f.kind == "rows_range" or f.exclude_current_time or f.instance_not_in_window for f in every):
         # both numbers over the same partition and sort as the frames themselves: no shuffle of their own
         seq = (F.row_number().over(Window.partitionBy(*by).orderBy("__ms", *order)) - F.rank().over(Window.partitionBy(*by).orderBy("__ms"))).cast("long")
         # the peers' number must fit in the key; a key with more would give wrong frames, so it is an error
         out = out.withColumn("__seq", F.when(seq < PEERS // 2, seq).otherwise(F.raise_error(F.lit(f"more than {PEERS // 2} rows of one key and time"))))
         out = out.withColumn("__key", F.col("__ms") * PEERS + F.col("__seq"))
-    if frame.instance_not_in_window:
-        every = Window.partitionBy(*by).orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn("__union_rows", F.count(F.when(~F.col("__main"), 1)).over(every))
+    if any(f.instance_not_in_window for f in every):
+        so_far = Window.partitionBy(*by).orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn("__union_rows", F.count(F.when(~F.col("__main"), 1)).over(so_far))
     return out
 
 

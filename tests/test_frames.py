@@ -160,11 +160,12 @@ def test_sum_keeps_its_type(spark, kind):
     assert sorted(r.s for r in out.collect()) == ([-5536, 30000] if kind == "smallint" else [30000, 60000])
 
 
-def test_request_equals_batch(spark):
+@pytest.mark.parametrize("kind", ["range", "rows", "maxsize", "history", "unbounded"])
+def test_request_equals_batch(spark, kind):
     rnd = random.Random(4)
-    rows = [(i, rnd.randint(0, 3), rnd.randint(0, 60), rnd.randint(0, 9)) for i in range(60)]
+    rows = [(i, rnd.choice([None, 0, 1, 2, 3]), rnd.randint(0, 60), rnd.randint(0, 9)) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, k int, t long, v int")
-    f = BASE.rows_range(20)
+    f = {"range": BASE.rows_range(20), "rows": BASE.rows(3), "maxsize": BASE.rows_range(30, maxsize=3), "history": BASE.rows_range(20, 5), "unbounded": BASE.rows_range(None)}[kind]
     feats = [Feature("sum", "v", alias="s"), Feature("count", "v", alias="c"), Feature("max", "v", alias="m")]
     batch = {r.id: (r.s, r.c, r.m) for r in window_features(df, [(f, feats)]).collect()}
     for i in (7, 23, 59):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.aggregates import REGISTRY
 from tidemark.operators.frames import Frame, Scope, finish, prepare, shared
+from tidemark.timeutil import floor_div, millis
 
 
 class Feature:
@@ -58,20 +59,43 @@ def _padded(union: DataFrame, first: DataFrame, now: DataFrame) -> DataFrame:
     return out.select(*first.columns, *[F.lit(None).cast(now.schema[c].dataType).alias(c) for c in now.columns if c not in first.columns])
 
 
+def relevant_history(requests: DataFrame, history: DataFrame, frame: Frame) -> DataFrame:
+    """The rows of ``history`` that windows of the requests can reach: of their keys, and of a range frame's spans of time.
+
+    A NULL key is a key like any other, as it is in windows.
+    """
+    keys = list(frame.partition_by)
+    asked = requests.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)])
+    rows, same = history, F.lit(True)
+    if frame.order_by and frame.kind == "rows_range" and frame.start:
+        at = millis(requests, frame.order_by)
+        spans = F.array_distinct(F.array(floor_div(at - frame.start, frame.start), floor_div(at, frame.start)))
+        asked = requests.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], F.explode(spans).alias("__asked"))
+        rows = history.withColumn("__span", floor_div(millis(history, frame.order_by), frame.start))
+        same = F.col("__span") == F.col("__asked")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__r{i}"))
+    return rows.join(asked.distinct(), same, "left_semi").select(*history.columns)
+
+
 def request_features(requests: DataFrame, history: DataFrame, frames: Sequence[tuple[Frame, Sequence[Feature]]], keep: Sequence[str] | None = None) -> DataFrame:
     """Features of request rows, each as if it alone were inserted into ``history``.
 
     The history is the union table and the requests see nothing of each other, so a batch of requests of any
-    size gives each the answer it would get alone. Only keys that are asked for are read into the windows.
+    size gives each the answer it would get alone. Only what their windows can reach is read into the windows, and range
+    frames are split into spans of time, so that a hot key's history doesn't meet in one task.
     """
-    served = []
-    for frame, features in frames:
-        keys = requests.select(*frame.partition_by).distinct()
-        asked = history.join(keys, list(frame.partition_by), "left_semi").select(*history.columns)
-        served.append((replace(frame, unions=[asked, *frame.unions], instance_not_in_window=True), features))
+    served = [(request_frame(requests, history, frame), features) for frame, features in frames]
     return window_features(requests, served, keep)
 
 
+def request_frame(requests: DataFrame, history: DataFrame, frame: Frame) -> Frame:
+    """The frame for request rows over their history."""
+    past = relevant_history(requests, history, frame)
+    split = frame.start if frame.order_by and frame.kind == "rows_range" and frame.start else None
+    return replace(frame, unions=[past, *frame.unions], instance_not_in_window=True, block_ms=frame.block_ms or split)
+
+
 def group_features(df: DataFrame, keys: Sequence[str], features: Sequence[Feature], order: Sequence[str] = (), having: Column | None = None) -> DataFrame:
     """Aggregates per group.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalar
+from tidemark.operators.features import request_frame
 from tidemark.operators.ttl import retain
 from tidemark.plans.dialect import Compiler, Scope, compile_query
 from tidemark.plans.grammar import Literal, Parser, SqlError, parse_query
@@ -424,14 +425,10 @@ class RequestCompiler(Compiler):
         return alias, df, columns
 
     def frame(self, spec, scope, env):
-        from dataclasses import replace
-
         f = super().frame(spec, scope, env)
         if len(self.history.columns) != len(scope.df.columns):
             raise SqlError("a window over joined tables isn't served; join in a query around it")
-        keys = scope.df.select(*f.partition_by).distinct()
-        past = self.history.join(keys, f.partition_by, "left_semi").select(*scope.df.columns)
-        return replace(f, unions=(past, *f.unions), instance_not_in_window=True)
+        return request_frame(scope.df, self.history.select(*scope.df.columns), f)
 
 
 def _converted(c: Column, kind: T.DataType) -> Column:

@@ -89,11 +89,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str | tuple[str, s
     rows = a.filter(whole).unionByName(b).withColumn("__b", floor_div(F.col("__t"), block_us))
     within = Window.partitionBy(*keys, "__b").orderBy("__t", "__side", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.withColumn("__here", F.last("__right", ignorenulls=True).over(within)).filter(F.col("__left").isNotNull()).select(*keys, "__b", "__left", "__here")
-    ends = b.withColumn("__b", floor_div(F.col("__t"), block_us)).groupBy(*keys, "__b").agg(F.max(F.struct("__t", "__o", "__right")).alias("__end"))
-    # the blocks that either side has, with the last right row of the blocks before
-    blocks = a.filter(whole).select(*keys, floor_div(F.col("__t"), block_us).alias("__b")).distinct().withColumn("__end", F.lit(None).cast(ends.schema["__end"].dataType))
+    # the last right row of each block, NULL where it has none, combined before its shuffle; then that of the blocks before
+    ends = rows.groupBy(*keys, "__b").agg(F.max(F.when(F.col("__right").isNotNull(), F.struct("__t", "__o", "__right"))).alias("__end"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.unionByName(blocks).groupBy(*keys, "__b").agg(F.max("__end").alias("__end")).select(*keys, "__b", F.last(F.col("__end")["__right"], ignorenulls=True).over(before).alias("__past"))
+    carried = ends.select(*keys, "__b", F.last(F.col("__end")["__right"], ignorenulls=True).over(before).alias("__past"))
     found = seen.join(carried, [*keys, "__b"], "left").select("__left", F.coalesce("__here", "__past").alias("__match"))
     found = found.unionByName(a.filter(~F.coalesce(whole, F.lit(False))).select("__left", none.alias("__match")))
     return found.select("__left.*", *[F.col("__match")[n].alias(n) for n in names.values()])

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.workers import equip
+
 #: The algorithm's constants.
 K0, K1, K2 = 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F
 M = (1 << 64) - 1
@@ -130,6 +132,7 @@ _DTYPES = {"smallint": np.int16, "int": np.int32, "bigint": np.int64}
 
 def hash64(x: Column, kind: str) -> Column:
     """Signed fingerprint of a value of Spark type ``kind``: a whole number's bytes, or a string's; NULL gives NULL."""
+    equip()
     if kind in _DTYPES:
         dtype = _DTYPES[kind]
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.workers import equip
+
 LEVELS, DEPTH, WIDTH = 4, 7, 8192
 _FLUSH = 1 << 17
 _SKETCH = "field int, level int, row int, part int, counters binary"
@@ -93,6 +95,7 @@ def sketch(df: DataFrame, fields: list[str]) -> tuple[int, np.ndarray]:
 
     What reaches the driver has a fixed size: 4 * 7 * 8192 counters for each field.
     """
+    equip(df.sparkSession)
     hashed = df.select(*[F.when(F.col(c).isNotNull(), F.shiftrightunsigned(F.xxhash64(c), 32)).alias(c) for c in fields])
     parts = hashed.mapInArrow(_fill(len(fields)), _SKETCH)
     by = ["field", "level", "row"]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.normal import words_line
+from tidemark.workers import equip
 
 Q = 8
 LEAST_WORDS, EDITS_IN = 16, 5
@@ -280,6 +281,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """
     doc_kind, item_kind = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType
     spark, out = documents.sparkSession, None
+    equip(spark)
     texts = documents.select(doc_id, text)
     for block in _blocks(items, item_id, passage, block_characters):
         part = texts.mapInArrow(_searcher(spark.sparkContext.broadcast(Passages.of(block)), to_arrow_type(item_kind)), f"`{doc_id}` {doc_kind}, `{item_id}` {item_kind.simpleString()}")

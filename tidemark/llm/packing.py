@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.workers import equip
+
 #: Fixed value: the project's tokens.
 TOKEN = r"[A-Za-z0-9_]{1,8}|[^A-Za-z0-9_ \t\r\n]"
 BLOCK = 1024
@@ -164,6 +166,7 @@ def fill_containers(documents: DataFrame, id_column: str, size: Column, capacity
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    equip(documents.sparkSession)
     kind = documents.schema[id_column].dataType.simpleString()
     rows = documents.select(F.col(id_column).alias("id"), size.alias("tokens"))
     packed = rows.mapInArrow(_packer(capacity, block), f"container_id bigint, id {kind}, piece bigint, first_token bigint, tokens bigint")

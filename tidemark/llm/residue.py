@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.cells import text_cells
+from tidemark.workers import equip
 
 #: What templates ask to be replaced, and filler, in lower case.
 PROMPTS = """
@@ -151,6 +152,7 @@ def scan_residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     quotation marks or code marks, or in a formula isn't looked at, and a phrase inside a sentence about it
     covers too little of that sentence to count.
     """
+    equip(documents.sparkSession)
     kind = documents.schema[doc_id].dataType.simpleString()
     rows = documents.select(doc_id, text, types, starts).mapInArrow(_scan, f"id {kind}, cells int, residue_cells int, kind string")
     return rows.withColumnRenamed("id", doc_id)

@@ -212,6 +212,14 @@ def test_a_long_text_is_searched_in_pieces(monkeypatch):
     assert leakage.leaked_items("", index) == leakage.leaked_items(" ", index) == []
 
 
+@pytest.mark.parametrize("unit", ["\\", "\n", "<", "<!--", "&a", "\u201c", "`", '"', "$", "{{", "_", " ", "a ", "[", "«", "x\u200b", '{"cell_type": "markdown", "source": ["a'])
+def test_long_runs_take_time_in_proportion(unit):
+    text = unit * 100_000
+    index = leakage.Passages.of([(1, " ".join(WORDS))])
+    assert leakage.leaked_items(text, index) == []
+    residue.residue(text, None, None)
+
+
 def test_words_line():
     assert words_line("It's 3.5\\nBIG &amp; <br/>über").tobytes().decode() == " it s 3 5 big über "
     assert words_line(None).tobytes() == b" "

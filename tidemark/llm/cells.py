@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 _JSON_CELL = re.compile(r'\{"cell_type": "(\w+)"')
-_JSON_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
+_JSON_STRING = re.compile(r'"((?:[^"\\]++|\\.)*+)"', re.S)
 _HTML_CELL = re.compile(r'<div class="nb-(text|code|output)"[^<>]*>(.*?)(?=<div class="nb-|\Z)', re.S)
 _HTML_TAG = re.compile(r"</?(?:html|head|title|body|div|p|pre|span|h[0-9]+|b|i|em|strong|br|hr|a|ul|ol|li|meta|link|table|tr|td|th|code)\b[^<>]{0,400}>|<!doctype[^<>]{0,100}>", re.I)
 _PERCENT = re.compile(r"^(#|//|--) %%(.*)$", re.M)

@@ -10,10 +10,10 @@ import numpy as np
 #: Characters that are not seen, and escape letters that stand for white space.
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\ufe0f\ufeff"
 _UNSEEN = re.compile(f"[{INVISIBLE}]+")
-_CODED = re.compile(r"\\+u([0-9a-fA-F]{4})|\\+x([0-9a-fA-F]{2})")
+_CODED = re.compile(r"(?<!\\)\\+(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))")
 _COLOUR = re.compile("\x1b\\[[0-9;]*[A-Za-z]")
-_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]{0,400})?/?>|<!--.{0,2000}?-->|<![A-Za-z][^<>]{0,200}>", re.S)
-_SPACE_ESCAPE = re.compile(r"\\+[nrtfv]")
+_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]{0,400})?/?>|<![A-Za-z][^<>]{0,200}>")
+_SPACE_ESCAPE = re.compile(r"(?<!\\)\\+[nrtfv]")
 _ENTITY = re.compile(r"&(?:amp;)*(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 
 

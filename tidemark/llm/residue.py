@@ -50,13 +50,13 @@ _MARKER = re.compile(
     r"\{\{\s*[A-Za-z_][\w.]*(?:\s*\|[^{}\n]{0,60})?\s*\}\}|\{%\s*[\w.]+\s*%\}|[$#]\{\s*[A-Za-z_][\w.]*\s*\}|<%=?\s*[\w.]+\s*%>|<<\s*[A-Za-z_]\w*\s*>>|\[\[\s*[A-Za-z_]\w*\s*\]\]|@@\w+@@|%%\w+%%|\*\|\w+\|\*"
     r"|__[A-Z][A-Z0-9_]*?__|(?<![\w\\^_{$#])\{[A-Za-z_]\w+\}(?!\})|(?:\[[A-Z][A-Z_]{2,}\](?:\s*-\s*)?){2,}|:\s*_{4,}|<(?:[Yy]our|[Ii]nsert|[Ee]nter|[Kk]urze|[Ii]hr|[Vv]otre|[Ss]u|[Ss]eu) [^<>\n]{2,60}>"
 )
-_ASIDE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\$\$.*?(?:\$\$|\n|\Z)|(?<!\$)\$[^$\n{]{1,80}\$|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|「[^」\n]*」|„[^“”\n]*[“”]", re.S)
+_ASIDE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\$\$.*?(?:\$\$|\n|\Z)|(?<!\$)\$[^$\n{]{1,80}\$|\"[^\"\n]*\"|“[^“”\n]*”|«[^«»\n]*»|「[^「」\n]*」|„[^„“”\n]*[“”]", re.S)
 _REPEATED = re.compile(r"(?<![^\s>*])([^\W\d_]{1,20}(?: [^\W\d_]{1,20}){0,2})(?:[ ,]+\1(?![^\W\d_])){4,}|([一-鿿]{2,8}?)\2{3,}", re.I)
 _SPECIFIC = re.compile(r"\S*[\d_/]\S*|[^\w\s]")
 _UNIT = re.compile(r"(?<=[.!?。])\s+|\n+|(?<=[.!?。])(?=[一-鿿])")
 #: The words of the usual filler text.
 LATIN = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo duis aute irure velit esse cillum fugiat nulla pariatur excepteur occaecat cupidatat sint culpa officia deserunt mollit anim est laborum".split())
-_NUMBERED = re.compile(r"^\W*heading \d+\s+(?:\W*)paragraph \d+\s*$", re.I | re.M)
+_NUMBERED = re.compile(r"^[^\w\n]*heading \d+\W+paragraph \d+[ \t\r]*$", re.I | re.M)
 COVERED, LATIN_SHARE, LATIN_WORDS = 0.6, 0.6, 6
 
 

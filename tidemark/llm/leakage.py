@@ -213,6 +213,7 @@ def _aligned_on(p: np.ndarray, padded: np.ndarray, m: int, middle: int) -> bool:
     n, never = len(p), -(10**6)
     lanes = np.arange(middle - REACH, middle + REACH + 1)
     score = np.full((n, len(lanes)), never, np.int64)
+    given = EDITS_IN * np.arange(len(lanes))
     for i in range(n):
         hit = padded[(i + lanes + n + REACH).clip(0, len(padded) - 1)] == p[i]
         inside = (i + lanes >= 0) & (i + lanes < m)
@@ -223,8 +224,7 @@ def _aligned_on(p: np.ndarray, padded: np.ndarray, m: int, middle: int) -> bool:
             return True
         step = np.maximum(met, np.where(inside, live + 1 - EDITS_IN, never))  # the word met, or replaced
         step[:, :-1] = np.maximum(step[:, :-1], live[:, 1:] + 1 - EDITS_IN)  # dropped: the next word meets this place
-        for _ in range(3):
-            step[:, 1:] = np.maximum(step[:, 1:], step[:, :-1] - EDITS_IN)  # added
+        step = np.maximum.accumulate(step + given, axis=1) - given  # added, as many in a row as the band holds
         step[step < (1 - EDITS_IN) * n] = never
         score[: i + 1] = step
     return False

@@ -1,4 +1,10 @@
-"""Template residue and error pages in place of content, by a multi-pattern automaton and its coverage."""
+"""Template residue and error pages in place of content, by a multi-pattern automaton and its coverage, and by rules of form.
+
+What has fixed words (prompts, errors, notices) is found by the automaton and its coverage of a line. Four rules that
+don't use the automaton stand beside it, for residue without fixed words: regular expressions for placeholders (``_MARKER``, whose
+names are free between fixed delimiters), for words said again and again (``_REPEATED``, any words) and for numbered
+headings (``_NUMBERED``, any number), and the share of Latin filler words in a line, which come in any order. The first three are asked before the automaton, the share before each line's coverage.
+"""
 
 from __future__ import annotations
 

@@ -1,7 +1,7 @@
 """Sessions: runs of events of one key without a pause longer than a gap.
 
-The same keyed timers serve tables and streams: an event opens a session or moves its end, and the session
-is given out once the gap has passed without another. Spark's session window holds those timers.
+For tables, without timers: events are combined to fragments, and Spark's session window sorts a key's fragments by time
+and merges those that touch. No state is kept and nothing expires. Keyed state with timeouts is in ``streaming.live.live_sessions``.
 """
 
 from __future__ import annotations
@@ -30,15 +30,15 @@ def sessions(events: DataFrame, keys: Sequence[str], time_us: str, gap_us: int)
     """Sessions of a table: ``keys``, ``start_us``, ``end_us`` (first and last event), ``duration_s``, ``events``.
 
     A pause of exactly ``gap_us`` doesn't end a session. Events with an unknown key part or time belong to
-    none. A fragment enters the timers at its first event and sets the timeout to its last plus the gap, so
-    timers see at most one fragment per slot of a key, in order of time.
+    none. A fragment's window runs from its first event to its last plus the gap, so the merge sees at most
+    one fragment per slot of a key, in order of time.
     """
     part = fragments(events, keys, time_us, gap_us)
     # windows that touch are merged, so an event exactly one gap after the last still meets the session
     length = F.make_interval(secs=((F.col("last_us") - F.col("first_us") + gap_us) / F.lit(1_000_000)).cast("decimal(18,6)"))
-    timer = F.session_window(F.timestamp_micros("first_us"), length)
+    window = F.session_window(F.timestamp_micros("first_us"), length)
     return (
-        part.groupBy(*keys, timer.alias("__session"))
+        part.groupBy(*keys, window.alias("__session"))
         .agg(F.min("first_us").alias("start_us"), F.max("last_us").alias("end_us"), F.sum("events").alias("events"))
         .select(*keys, "start_us", "end_us", ((F.col("end_us") - F.col("start_us")) / F.lit(1_000_000.0)).alias("duration_s"), "events")
     )

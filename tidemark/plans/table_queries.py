@@ -486,6 +486,33 @@ def _deployed(spark: SparkSession, sf: str) -> DataFrame:
     return s.request("recent", _table(spark, sf, "union_t").select(*columns).filter("c1 IS NOT NULL").distinct())
 
 
+# request_window and deployed_query leave out requests with unknown keys or values and repeated ones; these ask every row of union_t that has a time
+
+
+def _asked(features: str, hours: int) -> str:
+    return f"""WITH q AS (SELECT row_number() OVER () AS r, id, c1, c3, c7 FROM union_t WHERE epoch_ms(c7) >= 0)
+SELECT q.id, {features} FROM q LEFT JOIN udaf_t x ON x.c1 IS NOT DISTINCT FROM q.c1 AND epoch_ms(x.c7) BETWEEN epoch_ms(q.c7) - {hours * HOUR} AND epoch_ms(q.c7) GROUP BY q.r, q.id, q.c3"""
+
+
+_COUNT_ASKED = "count(x.c3) + CASE WHEN q.c3 IS NULL THEN 0 ELSE 1 END AS n"
+
+
+@query("request_window_all", _asked(f"{_COUNT_ASKED}, greatest(max(x.c3), q.c3) AS m", 48))
+def _request_all(spark: SparkSession, sf: str) -> DataFrame:
+    requests, history = (_table(spark, sf, t).select("id", "c1", "c3", "c7") for t in ("union_t", "udaf_t"))
+    return request_features(requests, history, [(BASE.rows_range("2d"), [Feature("count", "c3", alias="n"), Feature("max", "c3", alias="m")])], ["id"])
+
+
+@query("deployed_query_all", _asked(_COUNT_ASKED, 24))
+def _deployed_all(spark: SparkSession, sf: str) -> DataFrame:
+    """A deployed query answers each row of union_t, repeated ones and those with a NULL key included, from the history in udaf_t."""
+    s = Session(spark)
+    columns = ["id", "c1", "c3", "c4", "c5", "c6", "c7", "c8"]
+    s.register("history", _table(spark, sf, "udaf_t").select(*columns))
+    s.sql("DEPLOY recent SELECT id, count(c3) OVER w AS n FROM history WINDOW w AS (PARTITION BY c1 ORDER BY c7 ROWS_RANGE BETWEEN 1d PRECEDING AND CURRENT ROW)")
+    return s.request("recent", _table(spark, sf, "union_t").select(*columns))
+
+
 dialect(
     "dialect_windows",
     """SELECT id, sum(c3) OVER w1 AS a, count_where(c3, c10) OVER w1 AS b, max(c3) OVER w2 AS c, lag(c3, 1) OVER w1 AS d FROM udaf_t

@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 
 from tidemark.functions import scalar
 from tidemark.operators.features import request_frame
+from tidemark.operators.frames import interval_ms, wrapped
+from tidemark.operators.preagg import build_buckets, long_window
 from tidemark.operators.ttl import retain
-from tidemark.plans.dialect import Compiler, Scope, compile_query
-from tidemark.plans.grammar import Literal, Parser, SqlError, parse_query
+from tidemark.plans.dialect import Compiler, Scope, _calls, compile_query
+from tidemark.plans.grammar import Literal, Parser, Select, SqlError, Star, WindowSpec, parse_query
 from tidemark.sources.files import Options, read, write
+from tidemark.timeutil import millis
 
 
 @dataclass
@@ -55,6 +58,7 @@ class Session:
         self.databases: dict[str, dict[str, Table]] = {"default": {}}
         self.current = "default"
         self.deployments: dict[str, str] = {}
+        self.long_windows: dict[str, dict[str, int]] = {}  # deployment -> window -> ms of a bucket
         self.variables: dict[str, object] = {"execute_mode": "offline"}
 
     # ---- tables
@@ -243,6 +247,7 @@ class Session:
             self.databases.pop(name[0].lower(), None)
         elif kind == "DEPLOYMENT":
             self.deployments.pop(name[-1].lower(), None)
+            self.long_windows.pop(name[-1].lower(), None)
         elif kind == "INDEX":
             t = self.find(name[:-1])
             t.indexes = [i for i in t.indexes if i.name != name[-1]]
@@ -349,17 +354,22 @@ class Session:
     def _deploy(self, p: Parser, text: str):
         given = p.take("IF", "NOT", "EXISTS")
         name = p.identifier().lower()
-        self._options(p)
+        options = self._options(p)
         query = self._rest(p, text)
-        parse_query(query)
-        if name in self.deployments and not given:
-            raise SqlError(f"deployment {name} exists")
-        self.deployments.setdefault(name, query)
+        long = _long_windows(options.get("long_windows"), parse_query(query))
+        if name in self.deployments:
+            if not given:
+                raise SqlError(f"deployment {name} exists")
+            return
+        self.deployments[name], self.long_windows[name] = query, long
 
     def request(self, name: str, rows: DataFrame) -> DataFrame:
-        """Answers of a deployed query for request rows of its first table, each as if it alone were inserted."""
+        """Answers of a deployed query for request rows of its first table, each as if it alone were inserted.
+
+        Long windows are answered from buckets, which are built for the batch from the table as it is then.
+        """
         query = parse_query(self.deployments[name.lower()])
-        return RequestCompiler(self.spark, self.table, rows).query(query, {})
+        return RequestCompiler(self.spark, self.table, rows, self.long_windows.get(name.lower())).query(query, {})
 
     def _call(self, p: Parser, text: str):
         name = p.name()[-1].lower()
@@ -413,9 +423,10 @@ class Session:
 class RequestCompiler(Compiler):
     """Compiles a query for request rows: the first table is the requests, and windows see its history."""
 
-    def __init__(self, spark: SparkSession, tables, rows: DataFrame):
+    def __init__(self, spark: SparkSession, tables, rows: DataFrame, long_windows: dict[str, int] | None = None):
         super().__init__(spark, tables)
         self.rows, self.history = rows, None
+        self.long_windows = long_windows or {}
 
     def table(self, source, env, number):
         alias, df, columns = super().table(source, env, number)
@@ -430,6 +441,78 @@ class RequestCompiler(Compiler):
             raise SqlError("a window over joined tables isn't served; join in a query around it")
         return request_frame(scope.df, self.history.select(*scope.df.columns), f)
 
+    def windowed(self, q, scope, calls, done, env):
+        parts: dict[tuple, list] = {}
+        for c in calls:
+            if self.from_buckets(c, q, scope, env):
+                base = c.name.removesuffix("_where")
+                parts.setdefault((str(c.window).lower(), c.args, c.name != base, "range" if base in ("min", "max") else base), []).append(c)
+        long = {c for cs in parts.values() for c in cs}
+        rest = [c for c in calls if c not in long]
+        df = super().windowed(q, scope, rest, done, env) if rest else scope.df
+        for n, ((window, *_), cs) in enumerate(parts.items()):
+            df = self.bucketed(df, scope, super().frame(q.windows[window], scope, env), self.long_windows[window], cs, n, done)
+        return df
+
+    def from_buckets(self, c, q, scope: Scope, env) -> bool:
+        """Whether an aggregate is over a long window, and one that totals of buckets can answer."""
+        spec = None if isinstance(c.window, WindowSpec) else q.windows.get(str(c.window).lower())
+        if spec is None or str(c.window).lower() not in self.long_windows or q.joins or not isinstance(q.source.query, tuple) or self.history.columns != scope.df.columns:
+            return False
+        if spec.kind != "rows_range" or spec.order_by is None or spec.unions or spec.maxsize is not None or spec.exclude_current_time or not spec.partition_by or spec.start.offset is None:
+            return False
+        base = c.name.removesuffix("_where")
+        if base not in ("count", "sum", "avg", "min", "max") or len(c.args) != 1 + (c.name != base) or any(_calls(a) for a in c.args):
+            return False
+        f = super().frame(spec, scope, env)
+        if f.start - f.start_open < f.end + f.end_open:
+            return False
+        return base == "count" or not isinstance(c.args[0], Star) and self.type_of(self.value(c.args[0], scope), scope) in _NUMBERS
+
+    def bucketed(self, df: DataFrame, scope: Scope, f, bucket_ms: int, calls: list, number: int, done: dict) -> DataFrame:
+        """Rows of ``df`` with aggregates of one argument over a long window: the history's from buckets, and the row's own value."""
+        base = calls[0].name.removesuffix("_where")
+        value = F.lit(1) if isinstance(calls[0].args[0], Star) else self.value(calls[0].args[0], scope)
+        kind = self.type_of(value, scope)
+        if base == "count":
+            value = F.when(value.isNotNull(), F.lit(1))
+        elif base == "avg" or base == "sum":
+            value = value.cast("double" if base == "avg" or kind in ("float", "double") else "bigint")
+        elif kind == "bigint":
+            value = value.cast("decimal(20,0)")  # so that the buckets' sums, which nobody asks for, can't overflow
+        if len(calls[0].args) > 1:
+            value = F.when(self.value(calls[0].args[1], scope), value)
+        at, end = millis(scope.df, f.order_by), f.end + f.end_open
+        keys = F.struct(*f.partition_by)  # equal where NULL keys are
+        history = self.history.select(keys.alias("__keys"), at.alias("__when"), value.alias("__value")).filter("__when >= 0")
+        own = F.lit(None).cast(history.schema["__value"].dataType) if end or f.exclude_current_row else value
+        asked = df.filter(at >= 0).withColumns({"__keys": keys, "__when": at - F.lit(end).cast("long"), "__own": own})
+        buckets = build_buckets(history, ["__keys"], "__when", F.col("__value"), bucket_ms)
+        out = long_window(asked, history, buckets, ["__keys"], "__when", F.col("__value"), f.start - f.start_open - end, bucket_ms)
+        mine, none = F.col("__own"), F.col("sum").isNull() & F.col("__own").isNull()
+        count = F.col("count") + F.when(mine.isNull(), F.lit(0)).otherwise(F.lit(1))
+        total = F.when(~none, F.coalesce(F.col("sum"), F.lit(0)) + F.coalesce(mine, F.lit(0)))
+        found = {"count": lambda: count, "sum": lambda: wrapped(total, kind), "avg": lambda: total / F.nullif(count, F.lit(0)), "min": lambda: F.least("min", mine).cast(kind), "max": lambda: F.greatest("max", mine).cast(kind)}
+        shown = []
+        for n, c in enumerate(calls):
+            shown.append(found[c.name.removesuffix("_where")]().alias(f"l_{number}_{n}"))
+            done[c] = F.col(f"l_{number}_{n}")
+        return out.select(*df.columns, *shown)
+
+
+def _long_windows(given: str | None, query) -> dict[str, int]:
+    """Windows of the option LONG_WINDOWS with the ms of their buckets, a day where none is given. Sizes in rows are left out."""
+    out = {}
+    for part in str(given).split(",") if given else ():
+        window, _, size = (x.strip().lower() for x in part.partition(":"))
+        if isinstance(query, Select) and window not in query.windows:
+            raise SqlError(f"no window {window}")
+        if size and not (size[:-1] if size[-1] in "smhd" else size).isdigit() or size and int(size.rstrip("smhd")) < 1:
+            raise SqlError(f"no size of a bucket: {size}")
+        if not size.isdigit():
+            out[window] = interval_ms(size or "1d")
+    return out
+
 
 def _converted(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -437,4 +520,5 @@ def _converted(c: Column, kind: T.DataType) -> Column:
     return c.cast("string").try_cast(kind) if not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast(kind)
 
 
+_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 _STATEMENTS = set("CREATE DROP ALTER USE SET INSERT LOAD DELETE TRUNCATE DEPLOY CALL SHOW DESC DESCRIBE EXPLAIN".split())

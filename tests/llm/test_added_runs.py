@@ -26,7 +26,7 @@ def test_a_run_of_added_words(added, words, long):
     want = 5 * added <= words
     assert brute(p, text) == want
     assert holds(p, text) == want
-    assert leakage.leaked_items(" ".join(text), leakage.Passages.of([(1, " ".join(p))])) == [0] * want
+    assert leakage.leaked_items(" ".join(text), leakage.Passages.of([(1, " ".join(p))])) == [1] * want
 
 
 def test_runs_of_added_words_among_other_edits():
@@ -40,3 +40,45 @@ def test_runs_of_added_words_among_other_edits():
             copy[rnd.randrange(len(copy))] = "other"
         text = ["noise"] * 9 + copy + ["noise"] * 9
         assert holds(p, text) == brute(p, text), (p, text)
+
+
+@pytest.mark.parametrize("kind", ["added", "replaced", "dropped", "mixed"])
+@pytest.mark.parametrize("words", [16, 20, 31, 47])
+def test_edits_by_words_of_any_length(kind, words):
+    """Passages of short and of long words, edited by words of 1 to 300 letters up to the bound, against brute force."""
+    rnd = random.Random(f"{kind}{words}")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    found = 0
+    for _ in range(25):
+        longest = rnd.choice([1, 2, 4, 9, 40])
+        p = ["".join(rnd.choices(letters, k=rnd.randint(1, longest))) + str(i % 10) * (longest > 1) for i in range(words)]
+        copy = list(p)
+        for i in sorted(rnd.sample(range(1, words - 1), rnd.randint(words // 5 - 1, words // 5)), reverse=True):
+            how = rnd.choice(["added", "replaced", "dropped"]) if kind == "mixed" else kind
+            copy[i : i + (how != "added")] = [] if how == "dropped" else ["".join(rnd.choices("xyz", k=rnd.choice([1, 7, 60, 300])))]
+        text = ["noise"] * 30 + copy + ["noise"] * 30
+        want = brute(p, text)
+        found += want
+        assert leakage.leaked_items(" ".join(text), leakage.Passages.of([(1, " ".join(p))])) == [1] * want, (p, text)
+    assert found >= (0 if kind in ("dropped", "mixed") and words == 16 else 20)
+
+
+def test_one_scan_for_many_blocks(spark):
+    rnd = random.Random(1)
+    texts = [" ".join(f"{w}{rnd.randint(0, 99)}" for w in rnd.choices(WORDS, k=30)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, "x " * 9 + t) for i, t in enumerate(texts)], "doc_id int, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, passage string")
+    for scans, per in ((1, 16), (3, 4)):
+        found = leakage.leaks(docs, items, block_characters=1, blocks_a_scan=per)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == scans
+        assert sorted(map(tuple, found.collect())) == [(i, i) for i in range(12)]
+
+
+def test_tags_of_any_length():
+    from tidemark.llm.normal import words_line
+
+    line = lambda t: words_line(t).tobytes().decode().split()
+    assert line(f'a <img src="data:{"Q" * 5000}" alt=x> b') == ["a", "b"]
+    assert line(f'a <img src=\\"data:{"Q" * 5000}\\"> b') == ["a", "b"]
+    assert line("a <!DOCTYPE " + "x " * 400 + "> b") == ["a", "b"]
+    assert line("if i <n then " + "more words " * 60 + "> end")[2:] == ["n", "then", *["more", "words"] * 60, "end"]

@@ -1,9 +1,11 @@
 """Evaluation passages inside training texts: a q-gram filter over diagonal bands, then banded alignment.
 
 Both sides are brought to one line of lower-case words. A stretch of 16 words with at most one word in five
-changed keeps a known number of its character q-grams, all close to one diagonal. So for every document and
-item the shared q-grams are counted in overlapping bands of diagonals, the bands that reach the bound are
-kept, and around the diagonals of their q-grams the words are aligned to see whether the stretch is there.
+changed keeps a known number of its character q-grams, all close to one diagonal. Diagonals are counted in words: the
+number of the word in which a q-gram begins, in the text less in the passage. So a word added, dropped or replaced shifts
+the diagonal by one at most, however long it is. For every document and item the shared q-grams are counted in
+overlapping bands of diagonals, the bands that reach the bound are kept, and around the diagonals of their q-grams the
+words are aligned to see whether the stretch is there.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from tidemark.workers import equip
 
 Q = 8
 LEAST_WORDS, EDITS_IN = 16, 5
-#: A stretch can be cut into parts of 16 to 31 words of which one has at most six edits, four equal words in a
-#: row among them. So some q-gram of that part lies on a diagonal from which the part strays by six words at most.
-REACH = 6
-#: Width of a band in characters: six added words of ten and their blanks stray by half of it.
-BAND = 128
+#: A stretch can be cut into parts of 16 to 31 words of which one has at most one word in five edited, so six edits at most, and four
+#: equal words in a row among them. So some q-gram of that part lies on a diagonal from which the part strays by six words at most.
+MOST_WORDS, REACH = 2 * LEAST_WORDS - 1, 6
+#: Width of a band in words. Bands overlap by half, so the seven neighbouring diagonals of a part lie in one of them.
+BAND = 2 * (REACH + 1)
+#: Blocks of passages that are searched in one scan of the documents.
+BLOCKS = 16
 SLICE = 1 << 20
 #: Bytes of a text whose q-grams are made at once.
 PIECE = 1 << 22
@@ -47,17 +51,17 @@ def qgrams(line: np.ndarray) -> np.ndarray:
 
 
 def least_shared(words: list[bytes]) -> int:
-    """Q-grams that 16 consecutive words share with a copy of them with three words changed, at least.
+    """Q-grams that any part of 16 to 31 words shares with a copy of it that has one word in five changed, at least.
 
-    Of the q-grams of any 16 words, a changed word takes with it those that touch it: its length plus q.
-    Neighbouring changed words take less between them; q-grams that occur twice count twice on both sides.
+    A changed word takes with it the q-grams that touch it: its length plus q. Neighbouring changed words take less between
+    them, an added word fewer than q; q-grams that occur twice count twice on both sides. Four equal words in a row keep one.
     """
     sizes = np.array([len(w) for w in words], np.int64)
     least = None
-    for a in range(max(1, len(sizes) - LEAST_WORDS + 1)):
-        part = np.sort(sizes[a : a + LEAST_WORDS])[::-1]
-        edits = len(part) // EDITS_IN
-        shared = int(part.sum()) + len(part) + 1 - Q + 1 - int((part[:edits] + Q).sum())
+    for n in range(LEAST_WORDS, min(MOST_WORDS, len(sizes)) + 1):
+        part = -np.sort(-np.lib.stride_tricks.sliding_window_view(sizes, n), axis=1)
+        edits = n // EDITS_IN
+        shared = int((part.sum(axis=1) - part[:, :edits].sum(axis=1)).min()) + n + 1 - Q + 1 - edits * Q
         least = shared if least is None else min(least, shared)
     return max(1, least or 1)
 
@@ -71,10 +75,9 @@ class Passages:
     grams: np.ndarray  # distinct q-grams, sorted
     start: np.ndarray  # per distinct q-gram, where its places begin; one more at the end
     item: np.ndarray  # per place
-    place: np.ndarray
+    word: np.ndarray  # per place, the number of the word in which it lies
     least: np.ndarray  # per item
     filter: np.ndarray  # bit table of hashed q-grams
-    word_at: list[np.ndarray]  # per item, number of the word at each byte of its line
     vocabulary: dict[bytes, int]
     coded: list[np.ndarray]  # per item, its words as numbers
 
@@ -85,7 +88,7 @@ class Passages:
         per = [qgrams(x) for x in lines]
         gram = np.concatenate(per) if per else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(per)), [len(g) for g in per])
-        place = np.concatenate([np.arange(len(g)) for g in per]) if per else np.empty(0, np.int64)
+        word = np.concatenate([word_numbers(x)[: len(g)] for x, g in zip(lines, per)]) if per else np.empty(0, np.int32)
         order = np.argsort(gram, kind="stable")
         grams, start = np.unique(gram[order], return_index=True)
         table = np.zeros(1 << _BITS, bool)
@@ -93,7 +96,7 @@ class Passages:
         vocabulary: dict[bytes, int] = {}
         coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in words]
         least = np.array([least_shared(w) for w in words], np.int64)
-        return cls([i for i, _ in rows], words, grams, np.append(start, len(gram)), item[order].astype(np.int32), place[order].astype(np.int32), least, table, [word_numbers(x) for x in lines], vocabulary, coded)
+        return cls([i for i, _ in rows], words, grams, np.append(start, len(gram)), item[order].astype(np.int32), word[order].astype(np.int32), least, table, vocabulary, coded)
 
 
 def word_numbers(line: np.ndarray) -> np.ndarray:
@@ -107,11 +110,12 @@ def _hashed(grams: np.ndarray) -> np.ndarray:
 
 
 def candidates(line: np.ndarray, index: Passages) -> dict[int, np.ndarray]:
-    """Per item whose q-grams a line shares in sufficient number within a band: the diagonals, in words, on which they lie."""
+    """Per item whose q-grams a line shares in sufficient number within a band: the diagonals on which they lie."""
     hits = [_known(line[a : a + PIECE + Q - 1], a, index) for a in range(0, len(line), PIECE)]
     at, found = (np.concatenate(x) for x in zip(*hits))
     if len(at) < max(1, index.least.min()):
         return {}
+    at = word_numbers(line)[at]
     many = index.start[found + 1] - index.start[found]
     # in slices of places, so that a text that repeats a much shared phrase can't fill the memory with them
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(many) // SLICE)) + 1).tolist(), len(at)]
@@ -121,17 +125,13 @@ def candidates(line: np.ndarray, index: Passages) -> dict[int, np.ndarray]:
     enough = key[count >= index.least[key >> 40]]
     if len(enough) == 0:
         return {}
-    word_at, kept = word_numbers(line), []
+    out: dict[int, list[np.ndarray]] = {}
     for x in slices:
-        where, item, diagonal, place = _places(*x, index)
+        item, diagonal = _places(*x, index)
         here = _within(_bands(item, diagonal, 0), enough) | _within(_bands(item, diagonal, 1), enough)
-        where, item, place = where[here], item[here], place[here]
-        for i in np.unique(item).tolist():
-            mine = item == i
-            kept.append(i << 40 | np.unique(word_at[where[mine]].astype(np.int64) - index.word_at[i][place[mine]] + (1 << 32)))
-    out: dict[int, list[np.ndarray]] = {}
-    for k in kept:
-        out.setdefault(int(k[0] >> 40), []).append((k & ((1 << 40) - 1)) - (1 << 32))
+        kept = np.unique(item[here] << 40 | (diagonal[here] + (1 << 36)))
+        for i in np.unique(kept >> 40).tolist():
+            out.setdefault(i, []).append((kept[kept >> 40 == i] & ((1 << 40) - 1)) - (1 << 36))
     return {i: np.unique(np.concatenate(ds)) for i, ds in sorted(out.items())}
 
 
@@ -151,14 +151,13 @@ def _within(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[at] == keys
 
 
-def _places(at: np.ndarray, found: np.ndarray, index: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each q-gram of the text with each of its places in the items: place in the text, item, diagonal, place in the item."""
+def _places(word: np.ndarray, found: np.ndarray, index: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """Item and diagonal of each q-gram of the text with each of its places in the items; ``word`` is where it lies in the text."""
     many = index.start[found + 1] - index.start[found]
-    where = np.repeat(at, many)
+    where = np.repeat(word, many)
     within = np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
     hit = np.repeat(index.start[found], many) + within
-    item, place = index.item[hit].astype(np.int64), index.place[hit].astype(np.int64)
-    return where, item, where - place, place
+    return index.item[hit].astype(np.int64), where.astype(np.int64) - index.word[hit]
 
 
 def _bands(item: np.ndarray, diagonal: np.ndarray, which: int) -> np.ndarray:
@@ -166,7 +165,7 @@ def _bands(item: np.ndarray, diagonal: np.ndarray, which: int) -> np.ndarray:
     return (item << 40) | ((diagonal + (1 << 36) + which * (BAND // 2)) // BAND * 2 + which)
 
 
-def _counted(where: np.ndarray, item: np.ndarray, diagonal: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted(item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of shared q-grams per item and band."""
     key, count = np.unique(np.concatenate([_bands(item, diagonal, 0), _bands(item, diagonal, 1)]), return_counts=True)
     return key, count
@@ -230,29 +229,31 @@ def _aligned_on(p: np.ndarray, padded: np.ndarray, m: int, middle: int) -> bool:
     return False
 
 
-def leaked_items(text: str | None, index: Passages) -> list[int]:
-    """Numbers of the items whose passage the text holds, wholly or partly."""
-    if not text or not index.ids:
-        return []
-    line = words_line(text)
-    found = candidates(line, index)
-    if not found:
+def leaked_items(text: str | None, *blocks: Passages) -> list:
+    """Ids of the items whose passage the text holds, wholly or partly."""
+    if not text or not any(b.ids for b in blocks):
         return []
-    coded = np.array([index.vocabulary.get(w, -1) for w in line.tobytes().split()], np.int64)
-    return [i for i, diagonals in found.items() if stretch_on(index.coded[i], coded, diagonals)]
+    line, words, out = words_line(text), None, []
+    for index in blocks:
+        found = candidates(line, index) if index.ids else {}
+        if found:
+            words = words or line.tobytes().split()
+            coded = np.array([index.vocabulary.get(w, -1) for w in words], np.int64)
+            out += [index.ids[i] for i, diagonals in found.items() if stretch_on(index.coded[i], coded, diagonals)]
+    return out
 
 
-def _searcher(index, item_type: pa.DataType):
+def _searcher(blocks: list, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = index.value
+        passages = [b.value for b in blocks]
         for batch in batches:
             docs, items = [], []
             for d, text in zip(batch.column(0), batch.column(1)):
-                for i in leaked_items(text.as_py(), passages):
-                    docs.append(d)
-                    items.append(passages.ids[i])
+                for i in leaked_items(text.as_py(), *passages):
+                    docs.append(d.as_py())
+                    items.append(i)
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array([d.as_py() for d in docs], batch.column(0).type), pa.array(items, item_type)], names=["doc", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, batch.column(0).type), pa.array(items, item_type)], names=["doc", "item"])
 
     return run
 
@@ -271,19 +272,22 @@ def _blocks(items: DataFrame, item_id: str, passage: str, characters: int) -> It
         yield block
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", block_characters: int = 2_000_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", block_characters: int = 2_000_000, blocks_a_scan: int = BLOCKS) -> DataFrame:
     """Pairs of a document and an item whose passage (16 words of it or more) the document's text holds.
 
     Whole texts are searched; documents are neither shuffled nor compared with each other. The items are the
     stated query set. They are indexed in blocks of about ``block_characters`` of their passages, and a block's index,
-    some 16 bytes a character, is what is broadcast: it has a bound whatever the number of items, and each further block is another scan.
+    some 16 bytes a character, is what is broadcast: it has a bound whatever the number of items. One scan searches ``blocks_a_scan``
+    blocks, each text brought to words once for all of them, so passages of 32 million characters take one scan of the corpus.
     NULL or short passages and NULL texts match nothing; a repeated document or item gives its pairs once per row.
     """
     doc_kind, item_kind = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType
-    spark, out = documents.sparkSession, None
+    spark = documents.sparkSession
     equip(spark)
     texts = documents.select(doc_id, text)
-    for block in _blocks(items, item_id, passage, block_characters):
-        part = texts.mapInArrow(_searcher(spark.sparkContext.broadcast(Passages.of(block)), to_arrow_type(item_kind)), f"`{doc_id}` {doc_kind}, `{item_id}` {item_kind.simpleString()}")
-        out = part if out is None else out.unionByName(part)
-    return texts.filter("false").select(doc_id, F.lit(None).cast(item_kind).alias(item_id)) if out is None else out
+    blocks = [spark.sparkContext.broadcast(Passages.of(b)) for b in _blocks(items, item_id, passage, block_characters)]
+    out = texts.filter("false").select(doc_id, F.lit(None).cast(item_kind).alias(item_id))
+    for a in range(0, len(blocks), blocks_a_scan):
+        part = texts.mapInArrow(_searcher(blocks[a : a + blocks_a_scan], to_arrow_type(item_kind)), f"`{doc_id}` {doc_kind}, `{item_id}` {item_kind.simpleString()}")
+        out = part if a == 0 else out.unionByName(part)
+    return out

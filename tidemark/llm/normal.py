@@ -12,7 +12,8 @@ INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\
 _UNSEEN = re.compile(f"[{INVISIBLE}]+")
 _CODED = re.compile(r"(?<!\\)\\+(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))")
 _COLOUR = re.compile("\x1b\\[[0-9;]*[A-Za-z]")
-_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]{0,400})?/?>|<![A-Za-z][^<>]{0,200}>")
+#: A tag with anything short behind its name, or with attributes of any length; a mark of less in a sentence is neither.
+_TAG = re.compile(r"""</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]{0,400}|(?:\s+[\w:@.-]+\s*=\s*(?:\\*"[^"<>]*"|\\*'[^'<>]*'|[^\s<>"']+))++\s*)?/?>|<![A-Za-z][^<>]*>""")
 _SPACE_ESCAPE = re.compile(r"(?<!\\)\\+[nrtfv]")
 _ENTITY = re.compile(r"&(?:amp;)*(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 

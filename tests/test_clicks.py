@@ -112,7 +112,7 @@ def test_feature_table_refuses_too_many_types(spark):
 @pytest.mark.parametrize("share", [0.05, 0.5, 1.0])
 def test_skewed_groups(spark, raw, share):
     df = spark.read.parquet(raw[0] + "/train_schema.parquet").withColumn("heavy", F.lit(1))
-    got = skewed_groups(df, ["ip", "app"], "click_id", {"s": ("sum", F.col("is_attributed")), "n": ("count", F.col("device")), "lo": ("min", F.col("os"))}, share, salts=4)
+    got = skewed_groups(df, ["ip", "app"], "click_id", {"s": ("sum", F.col("is_attributed")), "n": ("count", F.col("device")), "lo": ("min", F.col("os"))}, share)
     want = defaultdict(list)
     for r in table():
         want[r[1], r[2]].append(r)
@@ -122,10 +122,28 @@ def test_skewed_groups(spark, raw, share):
         mine = want[r.ip, r.app]
         known = [x[7] for x in mine if x[7] is not None]
         assert (r.rows, r.distinct_click_id, r.s, r.n, r.lo) == (len(mine), len({x[0] for x in mine}), sum(known) if known else None, sum(x[3] is not None for x in mine), 1)
-        if len(mine) >= share * len(table()) and None not in (r.ip, r.app):
+        if len(mine) >= share * len(table()):
             assert r.heavy
 
 
+def test_a_null_key_and_a_hot_key_are_spread(spark, tmp_path):
+    """Three rows in ten have no key and every second one has the same; no partition of either shuffle holds much of them."""
+    df = spark.range(0, 40000, 1, 8).select(F.expr("CASE WHEN id % 10 < 3 THEN NULL WHEN id % 10 < 8 THEN 7 ELSE id END").cast("int").alias("k"), F.col("id").alias("d"), F.lit(1).alias("v"))
+    assert {r.k for r in heavy_keys(df, ["k"], 0.05).collect() if r.estimate > 2000} == {None, 7}
+    out = skewed_groups(df, ["k"], "d", {"s": ("sum", F.col("v")), "m": ("max", F.col("d"))}, 0.05)
+    found = {r.k: r for r in out.collect()}
+    assert len(found) == 8002 and [(found[k].rows, found[k].distinct_d, found[k].s, found[k].heavy) for k in (None, 7)] == [(12000, 12000, 12000, True), (20000, 20000, 20000, True)]
+    spread = df.filter("k IS NULL OR k = 7").groupBy("k", "d").count().repartition(8, "k", "d").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in spread) < 1.2 * 32000 / 8
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_found_pairs_come_from_both_halves(spark, raw):
+    plan = q.p2_found(spark, raw[0])._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan and "Union" in plan
+
+
 def test_skew_queries_and_empty(spark, raw):
     counts = Counter((r[1], r[2]) for r in table())
     assert {tuple(r) for r in q.p2_found(spark, raw[0]).collect()} == {k for k, n in counts.items() if None not in k and n * 100 >= len(table())}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.clicks import clicks, known
@@ -61,7 +61,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs that hold at least a hundredth of the stored rows."""
     raw = deliveries(spark, sf)
     total = raw.count()
-    found = _per_key(raw, ["ip", "app"], 0.01).filter(F.col("heavy") & (F.col("rows") * 100 >= total))
+    found = _per_key(raw, ["ip", "app"], 0.01).filter(F.col("rows") * 100 >= total)
     return found.filter(F.col("ip").isNotNull() & F.col("app").isNotNull()).select("ip", "app")
 
 
@@ -84,10 +84,12 @@ def p5_rolling(spark: SparkSession, sf: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Days without a click between two active days at most 30 days apart.
 
-    The last 30 days of such a day hold the active day before it, which the rolling total shows.
+    While an ip is silent its total of the last 30 days falls. The next active day comes within 30 days if and only if the total
+    is still above zero on the last silent day before it, so it is the rolling totals that tell.
     """
-    silent = (F.col("clicks") == 0) & (F.col("clicks_30d") > 0) & (F.col("next_day") - F.col("prev_day") <= 30)
-    return _rolling(spark, sf).filter(silent).select("ip", _yyyymmdd("day").alias("click_day"))
+    run = Window.partitionBy("ip", "prev_day")
+    least = F.min(F.when(F.col("clicks") == 0, F.col("clicks_30d"))).over(run)
+    return _rolling(spark, sf).withColumn("__least", least).filter((F.col("clicks") == 0) & (F.col("__least") > 0)).select("ip", _yyyymmdd("day").alias("click_day"))
 
 
 def p6_sessions(spark: SparkSession, sf: str) -> DataFrame:

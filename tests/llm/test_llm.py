@@ -99,6 +99,40 @@ def test_pack(seed):
     assert least <= len(windows) <= math.ceil(1.15 * least) + 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_fill_of_documents_of_all_lengths(seed):
+    """Sizes spread as those of documents are: close to the lower bound of windows."""
+    rnd = random.Random(seed)
+    sizes = [int(rnd.lognormvariate(6.6, 0.9)) % CAPACITY for _ in range(1024)]
+    windows = packing.pack(sizes, CAPACITY)
+    assert sorted(i for w in windows for i in w) == list(range(len(sizes))) and all(sum(sizes[i] for i in w) <= CAPACITY for w in windows)
+    assert len(windows) <= 1.02 * packing.windows_needed(sizes, CAPACITY) + 1
+
+
+def test_two_windows_are_differenced_completely():
+    rnd = random.Random(8)
+    for _ in range(300):
+        sizes = [rnd.randint(0, 60) for _ in range(rnd.randint(1, 7))]
+        least = rnd.randint(0, sum(sizes))
+        most = least + rnd.randint(0, 5)
+        want = any(least <= sum(s for i, s in enumerate(sizes) if n >> i & 1) <= most for n in range(1 << len(sizes)))
+        got = packing.parted(sizes, least, most)
+        assert (got is not None) == want
+        assert got is None or least <= sum(s for s, x in zip(sizes, got) if x) <= most
+
+
+def test_a_lost_piece_is_an_error(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([5, 6])], names=["id", "tokens"])
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda s: 0})())
+    assert sum(r["tokens"] for b in packing._packer(10, 9)([batch]) for r in b.to_pylist()) == 11
+    for wrong in ([[0]], [[0, 1]]):
+        monkeypatch.setattr(packing, "pack", lambda sizes, capacity, wrong=wrong: wrong)
+        with pytest.raises(RuntimeError):
+            list(packing._packer(10, 9)([batch]))
+
+
 def test_fill_containers(spark):
     rnd = random.Random(1)
     texts = [None, "", " \n", "é!", "a" * 33, "x" * 8 * CAPACITY, "y " * (CAPACITY + 1), "z " * (3 * CAPACITY)] + ["w " * rnd.randint(1, CAPACITY) for _ in range(300)]

@@ -2,8 +2,9 @@
 
 Documents are packed in blocks, each block within one task as its rows stream by: nothing is shuffled, and a
 task holds one block of sizes at a time. A block's documents are divided into k windows of nearly equal
-fill by the differencing method of Karmarkar and Karp; k starts at a lower bound of the windows needed and
-rises for as long as some window exceeds the capacity.
+fill by the differencing method of Karmarkar and Karp. A window that still exceeds the capacity is differenced anew together
+with one that has room, now completely: difference or sum of the two largest, until a division is found that both fit.
+k starts at a lower bound of the windows needed and rises for as long as some window exceeds the capacity.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tidemark.workers import equip
 #: Fixed value: the project's tokens.
 TOKEN = r"[A-Za-z0-9_]{1,8}|[^A-Za-z0-9_ \t\r\n]"
 BLOCK = 1024
+#: Steps of a complete differencing of two windows.
+TRIES = 256
 
 
 def token_count(text: Column) -> Column:
@@ -93,28 +96,135 @@ def windows_needed(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def pack(sizes: list[int], capacity: int, slack: float = 1 / 64, share: float = 1 / 16) -> list[list[int]]:
+def parted(sizes: list[int], least: int, most: int) -> list[bool] | None:
+    """A division of ``sizes`` in two of which one has a total from ``least`` to ``most``: for each size whether it is in that one.
+
+    Complete differencing: of the two largest the difference goes on (they part) or the sum (they stay together), in that order, and
+    what can't end well is cut off. None if there is no such division, or none within ``TRIES`` steps.
+    """
+    total = sum(sizes)
+    low, high = 2 * least - total, 2 * most - total  # where the difference must lie, or its negative
+    a0, b0 = (low, high) if low >= 0 else (0, high)
+    a1, b1 = (-high if high < 0 else 0, -low)
+    stack = [(total, sorted([(s, i, None, None) for i, s in enumerate(sizes)]))]  # size, index or sign, and the two it was made of
+    for _ in range(TRIES):
+        if not stack:
+            return None
+        whole, nodes = stack.pop()
+        a = nodes[-1]
+        if len(nodes) == 1:
+            d = a[0]
+            if a0 <= d <= b0 or a1 <= d <= b1:
+                sides = _sides(a, len(sizes))
+                first = sum([s for s, x in zip(sizes, sides) if x])
+                return sides if least <= first <= most else [not x for x in sides]
+            continue
+        b = nodes[-2]
+        x, y = a[0], b[0]
+        # what is left can end with any difference from the largest less the others (or none) up to all of them
+        less, more = whole - 2 * y, whole
+        nearest = 2 * (x - y) - less
+        far = 2 * (x + y) - more
+        if far <= b0 and more >= a0 or far <= b1 and more >= a1:
+            rest = nodes[:-2]
+            rest.append((x + y, -2, a, b))
+            stack.append((more, rest))
+        if nearest <= b0 and less >= a0 or nearest <= b1 and less >= a1:
+            rest = nodes[:-2]
+            insort(rest, (x - y, -1, a, b), key=_size)
+            stack.append((less, rest))
+    return None
+
+
+def _size(node: tuple) -> int:
+    return node[0]
+
+
+def _sides(node: tuple, n: int) -> list[bool]:
+    out, stack = [False] * n, [(node, True)]
+    while stack:
+        (_, i, a, b), first = stack.pop()
+        if i >= 0:
+            out[i] = first
+        else:
+            stack += [(a, first), (b, first if i == -2 else not first)]
+    return out
+
+
+def filled(windows: list[tuple[int, list[int]]], sizes: list[int], capacity: int, slack: int) -> tuple[list[list[int]], list[int]]:
+    """Windows that are full to within ``slack``, and the items of the others.
+
+    Each window that isn't full is differenced anew with another, such that one of the two becomes full; what is left of them is a window
+    that goes on looking.
+    """
+    full, open_ = [], []
+    for w in windows:
+        (full if capacity - slack <= w[0] <= capacity else open_).append(w)
+    open_.sort()
+    left: list[int] = []
+    while open_:
+        total, items = open_.pop()
+        for n, (_, more) in enumerate(open_):
+            both = items + more
+            sides = parted([sizes[i] for i in both], capacity - slack, capacity)
+            if sides:
+                del open_[n]
+                full.append((0, [i for i, s in zip(both, sides) if s]))
+                rest = [i for i, s in zip(both, sides) if not s]
+                total = sum(sizes[i] for i in rest)
+                if capacity - slack <= total <= capacity:
+                    full.append((total, rest))
+                elif rest:
+                    insort(open_, (total, rest))
+                break
+        else:
+            left += items
+    return [items for _, items in full], left
+
+
+def fitted(windows: list[tuple[int, list[int]]], sizes: list[int], capacity: int) -> list[list[int]] | None:
+    """Windows of which none exceeds the capacity: each that does is differenced anew with one that has room; None if some finds none."""
+    over = sorted(w for w in windows if w[0] > capacity)
+    free = sorted(w for w in windows if w[0] <= capacity)
+    while over:
+        total, items = over.pop()
+        for n, (other, more) in enumerate(free):
+            both = items + more
+            sides = parted([sizes[i] for i in both], total + other - capacity, capacity) if total + other <= 2 * capacity else None
+            if sides:
+                del free[n]
+                for side in (True, False):
+                    part = [i for i, s in zip(both, sides) if s is side]
+                    insort(free, (sum(sizes[i] for i in part), part))
+                break
+        else:
+            return None
+    return [items for _, items in free]
+
+
+def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of indices, none above ``capacity``; every size must be at most ``capacity``.
 
-    While some window exceeds the capacity their number rises, by a hundredth at a time. As soon as at least
-    ``share`` of the windows are full to within ``slack`` of the capacity these are closed, and the items of
-    the others are divided anew from their own lower bound.
+    The sizes are divided by differencing into as many windows as the lower bound. If some exceed the capacity, windows are differenced anew
+    by twos, those that come out full (to within 1/256) are kept, and the items of the others are divided again from their own
+    lower bound. When that fills few windows more, the number of windows of the rest rises until none exceeds the capacity.
     """
     out: list[list[int]] = []
-    rest, k = list(range(len(sizes))), 0
+    rest = list(range(len(sizes)))
+    few = False
     while rest:
         left = [sizes[i] for i in rest]
-        k = k or max(1, windows_needed(left, capacity))
-        found = differencing(left, k)
-        if all(total <= capacity for total, _ in found):
-            return out + [[rest[i] for i in items] for _, items in found]
-        closed = [items for total, items in found if capacity * (1 - slack) <= total <= capacity]
-        if len(closed) >= share * k:
-            out += [[rest[i] for i in items] for items in closed]
-            gone = {i for items in closed for i in items}
-            rest, k = [i for n, i in enumerate(rest) if n not in gone], 0
-        else:
-            k += max(1, k // 100)
+        k = max(windows_needed(left, capacity), 1)
+        fit = fitted(differencing(left, k), left, capacity)
+        while few and fit is None:
+            k += 1
+            fit = fitted(differencing(left, k), left, capacity)
+        if fit is not None:
+            return out + [[rest[i] for i in items] for items in fit if items]
+        full, others = filled(differencing(left, k), left, capacity, capacity >> 8)
+        few = 16 * len(full) < k
+        out += [[rest[i] for i in items] for items in full]
+        rest = [rest[i] for i in others]
     return out
 
 
@@ -135,7 +245,10 @@ def _packer(capacity: int, block: int):
                     number += 1
                 if n % capacity or not n:
                     rest.append((n % capacity, i, n // capacity, n - n % capacity))
-            for window in pack([r[0] for r in rest], capacity):
+            windows = pack([r[0] for r in rest], capacity)
+            if sorted(j for w in windows for j in w) != list(range(len(rest))) or any(sum(rest[j][0] for j in w) > capacity for w in windows):
+                raise RuntimeError("a piece was lost or a container overfilled")
+            for window in windows:
                 rows += [(number, rest[j][1], rest[j][2], rest[j][3], rest[j][0]) for j in window]
                 number += 1
             columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([ids[r[1]] for r in rows], kind), *[pa.array([r[c] for r in rows], pa.int64()) for c in (2, 3, 4)]]
@@ -160,9 +273,9 @@ def fill_containers(documents: DataFrame, id_column: str, size: Column, capacity
     """One row per piece of a document: ``container_id``, the id, ``piece``, ``first_token``, ``tokens``.
 
     A document larger than ``capacity`` fills containers of its own with its first tokens, and what remains is
-    packed like any document; no other is split. A document without tokens lies in a container with 0 tokens
-    of its own. Rows are taken as they are: a repeated or NULL id is packed each time it occurs. Containers
-    hold documents of one block only, so at most a container's worth of room is lost per block to that.
+    packed like any document; no other is split. A document without tokens lies in some container with 0 tokens. Rows are taken as they are: a repeated or NULL id is packed each time it occurs. Containers
+    hold documents of one block only, so at most a container's worth of room is lost per block to that. It is an error if
+    a piece is lost or a container overfilled.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")

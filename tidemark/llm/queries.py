@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.distinct import distinct_counts
 from tidemark.llm.frequent import frequent_items
 from tidemark.llm.leakage import leaks
-from tidemark.llm.packing import fill_containers, token_count
+from tidemark.llm.packing import TOKEN, fill_containers, token_count
 from tidemark.llm.residue import scan_residue
 from tidemark.operators.clicks import clicks
 from tidemark.timeutil import day_number
@@ -50,10 +50,19 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that were split: those of more than 2048 tokens."""
+    """Documents whose pieces lie in more than one container: those of more than 2048 tokens are split, no others."""
+    lies = p7_containers(spark, sf).groupBy("doc_id").agg(F.min("container_id").alias("first"), F.max("container_id").alias("last"))
+    return lies.filter("first < last").select("doc_id")
+
+
+def p7_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the containers: nothing lost, none overfull, pieces in order, nothing split without need, little room unused."""
     pieces = p7_containers(spark, sf)
-    # the piece with the last token begins behind a full container if and only if the document was split
-    return pieces.filter((F.col("piece") == 1) & (F.col("tokens") > 0)).select("doc_id")
+    held = pieces.groupBy("container_id").agg(F.sum("tokens").alias("n")).agg(F.count(F.lit(1)).alias("containers"), F.max("n").alias("most"), F.sum("n").alias("tokens"))
+    per = pieces.groupBy("doc_id").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.max("piece").alias("last"), F.bool_and(F.col("first_token") == F.col("piece") * CAPACITY).alias("placed"))
+    per = per.agg(F.count(F.lit(1)).alias("documents"), F.sum("k").alias("pieces"), F.bool_and(F.col("placed") & (F.col("last") == F.col("k") - 1)).alias("in_order"), F.bool_and((F.col("n") > CAPACITY) | (F.col("k") == 1)).alias("whole"))
+    tight = F.col("containers") <= 1.03 * F.ceil(F.col("tokens") / CAPACITY) + 1
+    return per.withColumn("all", F.lit(1)).join(held.withColumn("all", F.lit(1)), "all").filter("documents > 0").select("documents", "pieces", F.col("tokens"), (F.col("most") <= CAPACITY).alias("none_overfull"), "in_order", "whole", tight.alias("tight"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,9 +83,11 @@ _CLICKS = """WITH d AS (SELECT *, row_number() OVER (PARTITION BY click_id ORDER
 c AS (SELECT ip, nullif(device, -1) AS device FROM d WHERE rn = 1), n AS (SELECT count(*) AS n FROM c),
 v AS (SELECT 'ip' AS field_name, ip AS field_value, count(*) AS k FROM c WHERE ip IS NOT NULL GROUP BY ip UNION ALL SELECT 'device', device, count(*) FROM c WHERE device IS NOT NULL GROUP BY device)"""
 
-QUERIES = {f.__name__: f for f in (p3_distinct_ips, p4_found, p4_frequent, p7_found, p7_containers, p8_found, p9_found, p9_cells)}
+QUERIES = {f.__name__: f for f in (p3_distinct_ips, p4_found, p4_frequent, p7_found, p7_containers, p7_checked, p8_found, p9_found, p9_cells)}
 
 SQL = {
     "p4_found": _CLICKS + " SELECT field_name, field_value FROM v, n WHERE k * 200 >= n",
+    "p7_checked": f"""WITH t AS (SELECT coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0) AS n FROM documents)
+SELECT count(*) AS documents, CAST(sum(greatest(1, (n + {CAPACITY - 1}) // {CAPACITY})) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS tokens, true AS none_overfull, true AS in_order, true AS whole, true AS tight FROM t""",
     "p7_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9_]{1,8}|[^A-Za-z0-9_ \t\r\n]')) > 2048",
 }

@@ -262,7 +262,7 @@ def test_words_line():
 # ---- residue
 
 TRUE = [
-    "# {{ title }}", "Dear {% name %}, welcome", "Contact: ${author}", "<%= author %>", "## About @@title@@", "Prepared by __EMAIL__ for __UNIT__", "[DATE] - [VERSION] - [OWNER]", "Name: ________", "<your name>, <your student number>", "This notebook analyses {course} and reports {dataset}.",
+    "# {{ title }}", "# <<title>>", "Dear {% name %}, welcome", "Contact: ${author}", "<%= author %>", "## About @@title@@", "Prepared by __EMAIL__ for __UNIT__", "[DATE] - [VERSION] - [OWNER]", "Name: ________", "<your name>, <your student number>", "This notebook analyses {course} and reports {dataset}.",
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "blah blah blah blah blah blah", "占位文字占位文字占位文字占位文字占位文字", "## Conclusion\n\nTBD", "[Insert project title here]", "此处填写标题", "## Heading 1\n\nParagraph 1\n\n## Heading 2\n\nParagraph 2",
     "404\nNotebook not found", "502 BAD GATEWAY\n\nPROXY/6.12", "Erreur 404 : cette page n'existe pas ou plus.", "服务器内部错误（6217），请稍后再试。", "Only members of Haskstead may read this: Bitte später erneut versuchen.", "Some results follow.\n\nYour address was blocked after 802 requests\nLog in to continue.",
     "You need to enable JavaScript to run this app.", "<noscript>Please activate JavaScript to see the notebook.</noscript>", "请启用 JavaScript 以查看此笔记本。", "JAVASCRIPT IS DISABLED IN YOUR BROWSER.",
@@ -275,12 +275,12 @@ FALSE = [
 
 @pytest.mark.parametrize("cell", TRUE)
 def test_residue(cell):
-    assert residue.residue_in(cell)
+    assert residue.residue_in(cell)[0]
 
 
 @pytest.mark.parametrize("cell", FALSE)
 def test_no_residue(cell):
-    assert not residue.residue_in(cell)
+    assert residue.residue_in(cell) == ("", 0)
 
 
 def test_cells_of_every_form():
@@ -306,6 +306,20 @@ def test_scan(spark):
     assert len(got) == len(rows) and residue.scan_residue(df.filter("false")).collect() == []
 
 
+def test_coverage_of_a_document():
+    page = residue.residue("404 - Page not found", ["text"], [0])
+    part = residue.residue("x" * 50 + " is long. " * 9 + "\n\nTBD", ["text"], [0])
+    assert page[:3] == (1, 1, "error") and page[3] == 1.0
+    assert part[2] == "prompt" and 0 < part[3] < 0.05
+    assert residue.residue("İİ {{ name }}", ["text"], [0])[2] == "placeholder"
+
+
+def test_cells_with_long_heads():
+    long = '{\n "nbformat": 4, "metadata": {"title": "' + "x" * 500 + '"},\n "cells": [\n  {"cell_type": "markdown", "metadata": {}, "source": [\n    "TBD"]}\n ]\n}\n'
+    assert list(text_cells(long, ["text"], [0])) == ["TBD"]
+    assert "TBD" in next(iter(text_cells("<!-- " + "c" * 500 + " -->\n<!DOCTYPE html><html><body><p>TBD</p></body></html>", ["text"], [0]))).split()
+
+
 def test_queries_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "click_id bigint, ip int, app int, device int, os int, channel int, click_time timestamp_ntz, is_attributed int, ingest_time timestamp_ntz").write.parquet(f"{tmp_path}/train_schema.parquet")
     spark.createDataFrame([], "doc_id bigint, text string, cell_types array<string>, cell_starts array<int>").write.parquet(f"{tmp_path}/documents.parquet")

@@ -8,9 +8,12 @@ import re
 from collections.abc import Iterator
 
 _JSON_CELL = re.compile(r'\{"cell_type": "(\w+)"')
+#: What a cell of a form begins with: before a cell of JSON nothing but JSON, before HTML comments.
+_JSON_HEAD = re.compile(r'(?:[\s\[\],:}\d]|\{(?!"cell_type)|"[^"\n]*"|true|false|null)*+\{"cell_type": "')
+_HTML_HEAD = re.compile(r"\s*+(?:<!--(?:(?!-->).)*+-->\s*+|<\?[^<>]*+>\s*+)*+<(?:!doctype|html)\b", re.I | re.S)
 _JSON_STRING = re.compile(r'"((?:[^"\\]++|\\.)*+)"', re.S)
 _HTML_CELL = re.compile(r'<div class="nb-(text|code|output)"[^<>]*>(.*?)(?=<div class="nb-|\Z)', re.S)
-_HTML_TAG = re.compile(r"</?(?:html|head|title|body|div|p|pre|span|h[0-9]+|b|i|em|strong|br|hr|a|ul|ol|li|meta|link|table|tr|td|th|code)\b[^<>]{0,400}>|<!doctype[^<>]{0,100}>", re.I)
+HTML_TAG = re.compile(r"(?<!<)</?(?:html|head|title|body|div|p|pre|span|h[0-9]+|b|i|em|strong|br|hr|a|ul|ol|li|meta|link|table|tr|td|th|code)\b[^<>]*>|<!doctype[^<>]*>", re.I)
 _PERCENT = re.compile(r"^(#|//|--) %%(.*)$", re.M)
 _COMMENT = re.compile(r"^(?:#|//|--) ?", re.M)
 _BLOCK = re.compile(r"(?:\r?\n){2,}")
@@ -32,10 +35,10 @@ def _source(cell: str) -> str:
 
 def plain(cell: str) -> str:
     """What a text cell says, without the markup of its form."""
-    if _JSON_CELL.search(cell[:80]):
+    if _JSON_HEAD.match(cell):
         return _source(cell)
-    if 'class="nb-' in cell or "<html" in cell[:200].lower() or "<!doctype" in cell[:200].lower():
-        return html.unescape(_HTML_TAG.sub("\n", cell))
+    if 'class="nb-' in cell or _HTML_HEAD.match(cell):
+        return html.unescape(HTML_TAG.sub("\n", cell))
     if _PERCENT.match(cell):
         return _COMMENT.sub("", _PERCENT.sub("", cell))
     return cell
@@ -57,7 +60,7 @@ def text_cells(text: str, types: list | None, starts: list | None) -> Iterator[s
     elif 'class="nb-' in text:
         for m in _HTML_CELL.finditer(text):
             if m.group(1) == "text":
-                yield html.unescape(_HTML_TAG.sub("\n", m.group(2)))
+                yield html.unescape(HTML_TAG.sub("\n", m.group(2)))
     elif _PERCENT.search(text):
         found = list(_PERCENT.finditer(text))
         for m, after in zip(found, [*[x.start() for x in found[1:]], len(text)]):

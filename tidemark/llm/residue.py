@@ -1,164 +1,187 @@
-"""Template residue and error pages in place of content, by a multi-pattern automaton and its coverage, and by rules of form.
+"""Template residue and error pages in place of content, by a multi-pattern automaton and its coverage.
 
-What has fixed words (prompts, errors, notices) is found by the automaton and its coverage of a line. Four rules that
-don't use the automaton stand beside it, for residue without fixed words: regular expressions for placeholders (``_MARKER``, whose
-names are free between fixed delimiters), for words said again and again (``_REPEATED``, any words) and for numbered
-headings (``_NUMBERED``, any number), and the share of Latin filler words in a line, which come in any order. The first three are asked before the automaton, the share before each line's coverage.
+One automaton holds the phrases of all slots (``phrases``). What it finds in a line says which slots the line fills; slots form frames
+(an error, a notice that scripts are needed, a prompt, filler, an outline without text). A line is residue if it fills a frame and what
+the automaton covers is most of its content: words without content, numbers, paths and names with underscores don't count.
+Marks that can open a field to be filled in are phrases too; where the automaton meets one, a pattern looks at the field's form.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.cells import text_cells
+from tidemark.llm.cells import HTML_TAG, text_cells
+from tidemark.llm.phrases import QUIET, automaton
 from tidemark.workers import equip
 
-#: What templates ask to be replaced, and filler, in lower case.
-PROMPTS = """
-insert project title here|type your answer here, replacing this text|type your answer here|replacing this text|enter some text|your answer here|your text here|your name here
-describe your dataset here|add a short description of the problem|section text goes here|section title|untitled section|double-click to edit|fill in before hand-in|replace with a figure caption
-firstname lastname|lab report of firstname lastname|your name|your student number|insert a link to the data source|link.example/goes-here|goes here|todo: write the summary of your findings|todo: write|to be written|to be completed|tbd|lorem ipsum|add your code here|write your conclusion here
-hier titel einfügen|hier text einfügen|kurze beschreibung der daten|ihre antwort hier|ihr name|bitte ersetzen
-insérer le titre ici|votre réponse ici|votre texte ici|votre nom|à compléter
-escriba aquí el título|sustituya este texto por su respuesta|su respuesta aquí|su nombre|por completar
-inserir título aqui|escreva sua resposta aqui|seu texto aqui|seu nome|a preencher
-此处填写标题|请在此处输入项目简介|请在此处输入|在此输入|占位文字
-"""
-
-#: What a server or viewer says instead of giving the page.
-ERRORS = """
-bad gateway|gateway timeout|bad request|internal server error|forbidden|not found|unauthorized|too many requests|service unavailable|service temporarily unavailable|planned maintenance until|access denied|gone|unavailable|error|http|notice|whoops|oh no|oops|ups
-the page|reference|notebook not found|page not found|the requested url was not found|the file exceeds the preview limit of|this file is too large to be displayed|view raw|the kernel gateway refused the request|the notebook server did not answer in time|the preview could not be built|the viewer ran out of memory|the viewer failed with code|this link has expired|too many redirects while opening|upstream connect error or disconnect before headers, reset reason|error rendering notebook|unreadable json at line
-you have exceeded the rate limit|please wait|minutes before the next request|your address was blocked after|requests|your session has expired|sign in again to see this notebook|we are moving our machines today|we could not load this notebook|a blank answer came back from the storage behind|only members of|may read this|something broke|sorry, something went wrong|you are looking for may have been moved or deleted|you do not have permission to open|is private or was removed by its owner|the repository|.ipynb is gone|no rights for|checking your browser before you may open|this takes about
-check the address or go back to the start page|if you typed the address, check its spelling|contact the site team and quote|return to the front page|go back|log in to continue|try again later|try again in|minutes|seconds|request id|reload|ray|proxy/
-seite nicht gefunden|die adresse|existiert nicht mehr|die vorschau konnte nicht geladen werden|ein fehler ist aufgetreten|bitte versuchen sie es in|minuten erneut|bitte später erneut versuchen|fehler
-cette page n'existe pas ou plus|le fichier demandé est introuvable|le service est momentanément indisponible|réessayez plus tard|erreur
-página no encontrada|vuelva al inicio|el archivo solicitado ya no está disponible|el servidor no pudo procesar la solicitud|inténtelo más tarde
-o arquivo não foi encontrado|erro ao carregar o caderno|tente novamente mais tarde|código
-页面不存在|可能已被删除|无法加载此文件|请稍后重试|服务器内部错误|请稍后再试
-"""
-
-#: Notices that scripts are needed.
-SCRIPTS = """
-please activate javascript to see the notebook|you need to enable javascript to run this app|javascript is disabled in your browser|turn it on to view|enable cookies and scripts to continue to|this viewer requires scripts|please allow them and reload|your browser does not run scripts, so the interactive cells cannot be shown|please enable javascript|requires javascript|<noscript>
-bitte aktivieren sie javascript|um dieses notebook anzuzeigen|veuillez activer javascript pour afficher ce contenu|active javascript para ver este cuaderno|ative o javascript no seu navegador para continuar|请启用 javascript 以查看此笔记本
-"""
-
-#: Words too common to tell anything alone: they add to the coverage of a line, but it takes another phrase.
-WEAK = set("the page|reference|error|http|notice|gone|unavailable|requests|minutes|seconds|reload|ray|go back|please wait|the repository|only members of|die adresse|fehler|erreur|código|ups|oops|whoops|oh no|request id|proxy/|your name|try again in|view raw|this takes about|forbidden|section title|error|su nombre|seu nome|votre nom|ihr name|goes here".split("|"))
-
-_MARKER = re.compile(
-    r"\{\{\s*[A-Za-z_][\w.]*(?:\s*\|[^{}\n]{0,60})?\s*\}\}|\{%\s*[\w.]+\s*%\}|[$#]\{\s*[A-Za-z_][\w.]*\s*\}|<%=?\s*[\w.]+\s*%>|<<\s*[A-Za-z_]\w*\s*>>|\[\[\s*[A-Za-z_]\w*\s*\]\]|@@\w+@@|%%\w+%%|\*\|\w+\|\*"
-    r"|__[A-Z][A-Z0-9_]*?__|(?<![\w\\^_{$#])\{[A-Za-z_]\w+\}(?!\})|(?:\[[A-Z][A-Z_]{2,}\](?:\s*-\s*)?){2,}|:\s*_{4,}|<(?:[Yy]our|[Ii]nsert|[Ee]nter|[Kk]urze|[Ii]hr|[Vv]otre|[Ss]u|[Ss]eu) [^<>\n]{2,60}>"
+#: The forms of fields in usual template languages, looked at where the automaton meets their first mark.
+_FIELD = re.compile(
+    r"\{\{\s*[A-Za-z_][\w.]*(?:\s*\|[^{}\n]*)?\s*\}\}|\{%\s*[\w.]+\s*%\}|[$#]\{\s*[A-Za-z_][\w.]*\s*\}|<%=?\s*[\w.]+\s*%>|<<\s*[A-Za-z_]\w*\s*>>|\[\[\s*[A-Za-z_]\w*\s*\]\]|@@\w+@@|%%\w+%%|\*\|\w+\|\*"
+    r"|__[A-Z][A-Z0-9_]*?__|(?<![\w\\^_{$#])\{[A-Za-z_]\w+\}(?!\})|(?:\[[A-Z][A-Z_]{2,}\](?:\s*-\s*)?){2,}|:\s*_{4,}|:\s*\.{6,}\s*$|<(?:[Yy]our|[Ii]nsert|[Ee]nter|[Kk]urze|[Ii]hr|[Vv]otre|[Ss]u|[Ss]eu) [^<>\n]+>",
+    re.M,
 )
-_ASIDE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\$\$.*?(?:\$\$|\n|\Z)|(?<!\$)\$[^$\n{]{1,80}\$|\"[^\"\n]*\"|“[^“”\n]*”|«[^«»\n]*»|「[^「」\n]*」|„[^„“”\n]*[“”]", re.S)
-_REPEATED = re.compile(r"(?<![^\s>*])([^\W\d_]{1,20}(?: [^\W\d_]{1,20}){0,2})(?:[ ,]+\1(?![^\W\d_])){4,}|([一-鿿]{2,8}?)\2{3,}", re.I)
+_ASIDE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\$\$.*?(?:\$\$|\n|\Z)|(?<!\$)\$(?=[^\s$])[^$\n{]+(?<=\S)\$(?!\d)|\"[^\"\n]*\"|“[^“”\n]*”|«[^«»\n]*»|「[^「」\n]*」|„[^„“”\n]*[“”]", re.S)
 _SPECIFIC = re.compile(r"\S*[\d_/]\S*|[^\w\s]")
 _UNIT = re.compile(r"(?<=[.!?。])\s+|\n+|(?<=[.!?。])(?=[一-鿿])")
-#: The words of the usual filler text.
-LATIN = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo duis aute irure velit esse cillum fugiat nulla pariatur excepteur occaecat cupidatat sint culpa officia deserunt mollit anim est laborum".split())
-_NUMBERED = re.compile(r"^[^\w\n]*heading \d+\W+paragraph \d+[ \t\r]*$", re.I | re.M)
-COVERED, LATIN_SHARE, LATIN_WORDS = 0.6, 0.6, 6
-
-
-@cache
-def automaton():
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for kind, phrases in (("prompt", PROMPTS), ("error", ERRORS), ("scripts", SCRIPTS)):
-        for p in phrases.replace("\n", "|").split("|"):
-            if p:
-                found.add_word(p, (len(p), kind if p not in WEAK else ""))
-    found.make_automaton()
-    return found
-
-
-def _whole_word(text: str, a: int, b: int) -> bool:
-    inner = lambda c: c.isascii() and c.isalpha()
-    return not (a and inner(text[a]) and inner(text[a - 1])) and not (b < len(text) and inner(text[b - 1]) and inner(text[b]))
-
-
-def covered(line: str) -> tuple[float, str]:
-    """Share of a line's characters that phrases of the automaton cover, and the kind of the longest telling one.
-
-    Numbers, paths, names with underscores and punctuation are left out of the length: they are what a
-    message is filled in with.
-    """
-    low = line.lower()
-    spans, kind, longest = [], "", 0
-    for end, (size, what) in automaton().iter(low):
+_STATUS = re.compile(r"(?<![\d.,])[45]\d\d(?![\d.,]\d|\d)")
+_FILE = re.compile(r"\w\.[a-z][a-z0-9]{1,7}(?![\w(])")
+#: Share of a line's content that must be covered; of one that tells what befell a thing, in no fixed words; of one that only has an order and a
+#: blank; and of its words that must be filler.
+COVERED, TOLD, CLOSE, FILLED = 0.6, 0.75, 0.95, 0.6
+#: So many words of filler, and so many repetitions, at least.
+LATIN_WORDS, REPEATED = 6, 5
+_CODE = re.compile(r"\w\(|\s[-+*/%]?=\s|\w\[")
+#: Slots without which no frame is formed.
+TELLING = {"reason", "fate", "word", "status", "script", "order", "own", "gap", "filler", "latin", "outline"}
+
+
+def lower(text: str) -> str:
+    """In lower case, every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def hits(low: str) -> list[tuple[int, int, frozenset]]:
+    """Phrases in a text in lower case, as begin, end and slots: whole words only, where the script parts words."""
+    out = []
+    for end, (size, slots) in automaton().iter(low):
         a, b = end - size + 1, end + 1
-        if _whole_word(low, a, b):
-            spans.append((a, b))
-            if what and size > longest:
-                kind, longest = what, size
-    if not kind:
-        return 0.0, ""
-    marks = bytearray(len(low))
-    for a, b in spans:
-        marks[a:b] = b"\1" * (b - a)
-    for m in _SPECIFIC.finditer(low):
-        marks[m.start() : m.end()] = bytes(x and 1 or 2 for x in marks[m.start() : m.end()])
-    letters = [m for m, c in zip(marks, low) if m != 2 and not c.isspace()]
-    return (sum(letters) / len(letters) if letters else 0.0), kind
-
-
-def residue_in(cell: str) -> str:
-    """The kind of residue in a text cell (``placeholder``, ``filler``, ``prompt``, ``error``, ``scripts``), or ""."""
-    cell = _ASIDE.sub(" ", cell)
-    if _MARKER.search(cell):
-        return "placeholder"
-    if _REPEATED.search(cell):
-        return "filler"
-    if _NUMBERED.search(cell):
-        return "prompt"
-    for line in _UNIT.split(cell):
-        line = line.strip(" \t\r#>*-_[]()（）【】:")
-        if not line:
+        x, y = low[a], low[end]
+        if a and x.isalpha() and x < "⺀" and low[a - 1].isalpha() and low[a - 1] < "⺀":
             continue
-        words = re.findall(r"[a-z]+", line.lower())
-        if len(words) >= LATIN_WORDS and sum(w in LATIN for w in words) >= LATIN_SHARE * len(words):
-            return "filler"
-        share, kind = covered(line)
-        if share >= COVERED:
-            return kind
+        if b < len(low) and y.isalpha() and y < "⺀" and low[b].isalpha() and low[b] < "⺀":
+            continue
+        out.append((a, b, slots))
+    return out
+
+
+def frame(line: str, found: list[tuple[int, int, frozenset]]) -> str:
+    """The kind of residue whose frame the slots of a line form, or "". An error told behind a "when", or a line of code, is none."""
+    slots = {x for _, _, s in found for x in s}
+    if "script" in slots and "need" in slots:
+        return "scripts"
+    case = min((a for a, _, s in found if "case" in s), default=len(line))
+    told = {x for a, _, s in found if a < case for x in s}
+    if not _CODE.search(line):
+        if "reason" in told:
+            return "error"
+        if "fate" in told and ("thing" in slots or "own" in slots or _FILE.search(line)):
+            return "fate"
+        if slots & {"word", "status"} and "case" not in slots and _STATUS.search(line):
+            return "error"
+    if "gap" in slots:
+        return "prompt"
+    if "blank" in slots and ("order" in slots and ("spot" in slots or "own" in slots) or "own" in slots and "spot" in slots):
+        return "prompt"
+    if "order" in slots and "blank" in slots:
+        return "order"
     return ""
 
 
-def residue(text: str | None, types: list | None, starts: list | None) -> tuple[int, int, str]:
-    """Number of text cells, of those with residue, and the kind of the first, of one document.
+def covered(line: str, found: list[tuple[int, int, frozenset]]) -> float:
+    """Share of a line's content that phrases cover; ``found`` are the phrases with places in the line."""
+    marks = bytearray(len(line))
+    for quiet in (True, False):
+        for a, b, slots in found:
+            if (slots <= QUIET) is quiet:
+                marks[a:b] = (b"\3" if quiet else b"\1") * (b - a)
+    for m in _SPECIFIC.finditer(line):
+        marks[m.start() : m.end()] = b"\2" * (m.end() - m.start())
+    content = [m for m, c in zip(marks, line) if m < 2 and not c.isspace()]
+    return sum(content) / len(content) if content else float(1 in marks or any(not s <= QUIET for _, _, s in found))
+
+
+def _filler(line: str, found: list) -> bool:
+    """Latin filler words in any order, or one filler word again and again."""
+    latin = [(a, b) for a, b, s in found if "latin" in s]
+    letters = sum(c.isalpha() for c in line)
+    if len(latin) >= LATIN_WORDS and sum(b - a for a, b in latin) >= FILLED * letters:
+        return True
+    again: dict[str, list] = {}
+    for a, b, s in found:
+        if "filler" in s:
+            again.setdefault(line[a:b], []).append((a, b))
+    return any(len(places) >= (REPEATED if p < "⺀" else REPEATED - 1) and sum(b - a - p.count(" ") for a, b in places) >= 0.8 * letters for p, places in again.items())
+
+
+def residue_in(cell: str) -> tuple[str, int]:
+    """The kind of the first residue in a text cell (``placeholder``, ``filler``, ``prompt``, ``error``, ``scripts``), or "", and the number of characters that residue takes of it."""
+    cell = _ASIDE.sub(" ", HTML_TAG.sub("\n", cell) if "<" in cell else cell)
+    low = lower(cell)
+    found = hits(low)
+    kinds: list[tuple[int, str, int]] = []
+    for a, _, slots in found:
+        if "mark" in slots and (m := _FIELD.match(cell, a)):
+            kinds.append((a, "placeholder", m.end() - a))
+    telling = sorted({a for a, _, slots in found if not slots.isdisjoint(TELLING)})
+    if telling:
+        cuts = [0, *(m.end() for m in _UNIT.finditer(cell)), len(cell) + 1]
+        found.sort(key=lambda h: h[:2])
+        starts = [h[0] for h in found]
+        outline = []
+        for n in sorted({bisect_right(cuts, a) - 1 for a in telling}):
+            begin, line = cuts[n], low[cuts[n] : cuts[n + 1]]
+            mine = [(a - begin, b - begin, s) for a, b, s in found[bisect_right(starts, begin - 1) : bisect_right(starts, begin + len(line) - 1)] if b <= begin + len(line)]
+            slots = {x for _, _, s in mine for x in s}
+            kind = frame(line, mine)
+            if "outline" in slots and any(c.isdigit() for c in line) and all("outline" in s for _, _, s in mine if not s <= QUIET) and covered(line, mine) == 1:
+                outline.append((begin, {line[a:b] for a, b, s in mine if "outline" in s}))
+            if ("latin" in slots or "filler" in slots) and _filler(line, mine):
+                kind = "filler"
+            elif kind == "order":
+                first = min(a for a, _, s in mine if not s <= QUIET)
+                kind = "prompt" if any("order" in s for a, _, s in mine if a == first) and covered(line, mine) >= CLOSE else ""
+            elif kind == "fate":
+                kind = "error" if covered(line, mine) >= TOLD else ""
+            elif kind and covered(line, mine) < COVERED:
+                kind = ""
+            if kind:
+                kinds.append((begin, kind, len(line.strip())))
+        if len(outline) > 1 and len(set().union(*(words for _, words in outline))) > 1:
+            kinds.append((outline[0][0], "prompt", sum(len(w) for _, words in outline for w in words)))
+    return (min(kinds)[1], sum(k[2] for k in kinds)) if kinds else ("", 0)
+
+
+def residue(text: str | None, types: list | None, starts: list | None) -> tuple[int, int, str, float]:
+    """Number of text cells, of those with residue, the kind of the first, and the share of the text cells' characters that is residue, of one document.
 
     A text without any cell of its own is looked at as a whole.
     """
     if not text:
-        return 0, 0, ""
-    kinds = [residue_in(c) for c in text_cells(text, types, starts)]
-    if not kinds and types is None:
-        kinds = [residue_in(text)]
-    hit = [k for k in kinds if k]
-    return len(kinds), len(hit), hit[0] if hit else ""
+        return 0, 0, "", 0.0
+    cells = list(text_cells(text, types, starts))
+    if not cells and types is None:
+        cells = [text]
+    found = [residue_in(c) for c in cells]
+    hit = [k for k, _ in found if k]
+    size = sum(len(c.strip()) for c in cells)
+    return len(cells), len(hit), hit[0] if hit else "", min(1.0, sum(n for _, n in found) / size) if size else 0.0
+
+
+_COLUMNS = ("cells", pa.int32()), ("residue_cells", pa.int32()), ("kind", pa.string()), ("coverage", pa.float64())
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [residue(t.as_py(), k.as_py(), s.as_py()) for t, k, s in zip(batch.column(1), batch.column(2), batch.column(3))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] or None for f in found], pa.string())], names=["id", "cells", "residue_cells", "kind"])
+        columns = [pa.array([f[i] if name != "kind" else f[i] or None for f in found], kind) for i, (name, kind) in enumerate(_COLUMNS)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *(name for name, _ in _COLUMNS)])
 
 
 def scan_residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", types: str = "cell_types", starts: str = "cell_starts") -> DataFrame:
-    """One row per document: its id, ``cells``, ``residue_cells`` and ``kind`` (NULL: no residue, a NULL or empty text included).
+    """One row per document: its id, ``cells``, ``residue_cells``, ``kind`` (NULL: no residue, a NULL or empty text included) and ``coverage``.
 
+    ``coverage`` is the share of the characters of its text cells that is residue; a corpus that keeps documents with a little of it filters by that.
     Whole texts are read; rows are neither shuffled nor kept. What stands in code or output cells, in
     quotation marks or code marks, or in a formula isn't looked at, and a phrase inside a sentence about it
     covers too little of that sentence to count.
     """
     equip(documents.sparkSession)
     kind = documents.schema[doc_id].dataType.simpleString()
-    rows = documents.select(doc_id, text, types, starts).mapInArrow(_scan, f"id {kind}, cells int, residue_cells int, kind string")
+    rows = documents.select(doc_id, text, types, starts).mapInArrow(_scan, f"id {kind}, cells int, residue_cells int, kind string, coverage double")
     return rows.withColumnRenamed("id", doc_id)

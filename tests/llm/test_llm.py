@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import frequent, leakage, packing, residue
 from tidemark.llm.cells import text_cells
-from tidemark.llm.distinct import bitmap_bits, bitmap_partials, distinct_counts, estimates, merge_partials, relative_error
+from tidemark.llm.distinct import bitmap_bits, bitmap_partials, bitmaps, distinct_counts, estimates, merge_partials, relative_error
 from tidemark.llm.normal import words_line
 from tidemark.llm.queries import CAPACITY, QUERIES
 
@@ -59,6 +59,16 @@ def test_partials_merge_and_edges(spark):
     assert distinct_counts(none.filter("false"), ["g"], "x", 5).collect() == []
 
 
+def test_partials_say_their_size(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"))
+    one, two = (bitmaps(df.filter(f"x % 2 = {i}"), ["g"], "x", 1000, 0.02) for i in (0, 1))
+    whole = bitmaps(df, ["g"], "x", 1000, 0.02)
+    assert sorted(map(tuple, merge_partials(one, two).collect())) == sorted(map(tuple, whole.collect()))
+    assert {r["size"] for r in whole.collect()} == {bitmap_bits(1000, 0.02)}
+    with pytest.raises(Exception, match="different sizes"):
+        merge_partials(one, bitmaps(df, ["g"], "x", 100_000, 0.02)).collect()
+
+
 # ---- frequent items
 
 

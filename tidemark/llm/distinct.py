@@ -59,9 +59,21 @@ def bitmap_partials(events: DataFrame, groups: Sequence[str], item: str, bits: i
     return events.groupBy(*groups, "word").agg(F.bit_or(F.expr("CASE WHEN __bit IS NULL THEN 0L ELSE shiftleft(1L, __bit) END")).alias("bits"))
 
 
+def bitmaps(events: DataFrame, groups: Sequence[str], item: str, capacity: int, error: float = 0.01) -> DataFrame:
+    """``bitmap_partials`` with their ``size`` in bits, which depends on the parameters only: partials of any data with the same ones merge."""
+    bits = bitmap_bits(capacity, error)
+    return bitmap_partials(events, groups, item, bits).withColumn("size", F.lit(bits))
+
+
 def merge_partials(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """The union of partial bitmaps over the same groups and number of bits."""
+    """The union of partial bitmaps over the same groups; partials of different sizes, where they say it, are an error."""
     whole = first
+    if "size" in first.columns:
+        whole = whole.unionByName(others[0]) if others else whole
+        for x in others[1:]:
+            whole = whole.unionByName(x)
+        size = F.when(F.min("size") == F.max("size"), F.max("size")).otherwise(F.raise_error(F.lit("bitmaps of different sizes don't merge")))
+        return whole.groupBy(*[c for c in first.columns if c not in ("bits", "size")]).agg(F.bit_or("bits").alias("bits"), size.alias("size"))
     for x in others:
         whole = whole.unionByName(x)
     return whole.groupBy(*[c for c in first.columns if c != "bits"]).agg(F.bit_or("bits").alias("bits"))
@@ -70,14 +82,18 @@ def merge_partials(first: DataFrame, *others: DataFrame) -> DataFrame:
 def roll_up(partials: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Bitmap words of every combination of ``groups``, out of those of all of them together.
 
-    ``level`` names the columns a row is grouped by ("" for none); the others are NULL in it.
+    ``level`` names the columns a row is grouped by ("" for none); the others are NULL in it. Each combination is the union over one that has
+    one column more, so words that are merged already aren't merged again from the finest ones.
     """
-    out = None
-    for size in range(len(groups), -1, -1):
+    levels: dict[tuple, DataFrame] = {tuple(groups): partials.select(*groups, "word", "bits")}
+    for size in range(len(groups) - 1, -1, -1):
         for kept in combinations(groups, size):
-            part = partials if size == len(groups) else partials.groupBy(*kept, "word").agg(F.bit_or("bits").alias("bits"))
-            part = part.select(F.lit(",".join(kept)).alias("level"), *[F.col(g) if g in kept else F.lit(None).cast(partials.schema[g].dataType).alias(g) for g in groups], "word", "bits")
-            out = part if out is None else out.unionByName(part)
+            parent = next(levels[p] for p in combinations(groups, size + 1) if set(kept) < set(p))
+            levels[kept] = parent.groupBy(*kept, "word").agg(F.bit_or("bits").alias("bits"))
+    out = None
+    for kept, part in levels.items():
+        part = part.select(F.lit(",".join(kept)).alias("level"), *[F.col(g) if g in kept else F.lit(None).cast(partials.schema[g].dataType).alias(g) for g in groups], "word", "bits")
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -6,17 +6,19 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import scalar
+from tidemark.functions import aggregates, own, scalar
 from tidemark.operators.features import request_frame
 from tidemark.operators.frames import interval_ms, wrapped
 from tidemark.operators.preagg import build_buckets, long_window
 from tidemark.operators.ttl import retain
 from tidemark.plans.dialect import Compiler, Scope, _calls, compile_query
-from tidemark.plans.grammar import Literal, Parser, Select, SqlError, Star, WindowSpec, parse_query
+from tidemark.plans.grammar import Literal, Parser, Select, SetOp, SqlError, Star, WindowSpec, With, parse_query
 from tidemark.sources.files import Options, read, write
 from tidemark.timeutil import millis
 
@@ -58,6 +60,8 @@ class Session:
         self.databases: dict[str, dict[str, Table]] = {"default": {}}
         self.current = "default"
         self.deployments: dict[str, str] = {}
+        self.procedures: dict[str, T.StructType] = {}
+        self.functions: dict[str, str] = {}  # of this session: name -> how it is declared
         self.long_windows: dict[str, dict[str, int]] = {}  # deployment -> window -> ms of a bucket
         self.variables: dict[str, object] = {"execute_mode": "offline"}
 
@@ -130,15 +134,50 @@ class Session:
         return handler(p, text)
 
     def _select(self, text: str, parameters: Sequence = ()) -> DataFrame | None:
-        upper = text.upper()
-        if "INTO OUTFILE" in upper:
-            at = upper.rindex("INTO OUTFILE")
-            p = Parser(text[at:])
-            p.need("INTO", "OUTFILE")
-            path = str(p.next().value)
-            write(compile_query(self.spark, text[:at], self.table, parameters), path, Options.of(self._options(p)))
-            return None
-        return compile_query(self.spark, text, self.table, parameters)
+        p = Parser(text)
+        at = next((i for i, t in enumerate(p.tokens) if t.word() == "INTO" and p.tokens[i + 1].word() == "OUTFILE"), None)
+        if at is None:
+            return self._query(text, parameters)
+        end = p.tokens[at].at
+        p.at = at
+        p.need("INTO", "OUTFILE")
+        path = str(p.next().value)
+        write(self._query(text[:end], parameters), path, Options.of(self._options(p)))
+        return None
+
+    def _query(self, text: str, parameters: Sequence = ()) -> DataFrame:
+        """A query over all rows or, with ``execute_mode='request'`` and ``values`` in its CONFIG, for request rows of its first table."""
+        query = parse_query(text)
+        config = getattr(query, "config", {})
+        mode = str(config["execute_mode"].value).lower() if "execute_mode" in config else ""
+        if mode not in ("", "offline", "online", "request"):
+            raise SqlError(f"no execute_mode {mode}")
+        if (mode == "request") != ("values" in config):
+            raise SqlError("a request takes execute_mode='request' and values")
+        if mode != "request":
+            return Compiler(self.spark, self.table, parameters).query(query, {})
+        values = config["values"]
+        rows = values.args if getattr(values, "name", "") == "array" else [values]
+        rows = [r.args if getattr(r, "name", "") == "struct" else [r] for r in rows]
+        schema = self.find(_first_table(query)).schema
+        return RequestCompiler(self.spark, self.table, self._rows(schema, schema.names, rows, {})).query(query, {})
+
+    def _rows(self, schema: T.StructType, columns: Sequence[str], rows: Sequence[Sequence], defaults: dict) -> DataFrame:
+        """Rows of expressions as a table: literals go into it as they are, in one plan however many there are; other expressions are computed."""
+        where = {c.lower(): i for i, c in enumerate(columns)}
+        if any(len(r) != len(columns) for r in rows):
+            raise SqlError("as many values as columns are needed")
+        cells = [[r[where[f.name.lower()]] if f.name.lower() in where else Literal(defaults.get(f.name)) for f in schema] for r in rows]
+        plain = [all(isinstance(c, Literal) and not c.kind for c in r) for r in cells]
+        parts = []
+        if any(plain):
+            text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+            values = [tuple(None if c.value is None else str(c.value).lower() if isinstance(c.value, bool) else str(c.value) for c in r) for r, p in zip(cells, plain) if p]
+            parts.append(self.spark.createDataFrame(values, text).select(*[_converted(_number(F.col(f"`{f.name}`"), f.dataType), f.dataType).alias(f.name) for f in schema]))
+        compiler, one = Compiler(self.spark, self.table), self.spark.range(1)
+        for r in (r for r, p in zip(cells, plain) if not p):
+            parts.append(one.select(*[_converted(compiler.value(c, Scope(one)), f.dataType).alias(f.name) for c, f in zip(r, schema)]))
+        return reduce(DataFrame.unionByName, parts)
 
     def _options(self, p: Parser) -> dict:
         out: dict = {}
@@ -173,9 +212,61 @@ class Session:
             table.indexes.append(Index(keys, name=name, **self._retention(self._options(p))))
         elif p.take("TABLE"):
             self._create_table(p)
+        elif p.take("PROCEDURE"):
+            self._create_procedure(p, text)
+        elif p.peek().word() in ("FUNCTION", "AGGREGATE"):
+            self._create_function(p)
         else:
             raise SqlError("CREATE what?")
 
+    def _create_procedure(self, p: Parser, text: str) -> None:
+        """``CREATE PROCEDURE name(column type, ...) BEGIN SELECT ...; END``: a query for request rows of these columns."""
+        name = p.name()[-1].lower()
+        if name in self.deployments:
+            raise SqlError(f"procedure {name} exists")
+        p.need("(")
+        schema = T.StructType()
+        while not p.take(")"):
+            p.take("CONST")
+            column, kind = p.identifier(), p.type_name()
+            schema = schema.add(column, T._parse_datatype_string(kind))
+            p.take(",")
+        p.need("BEGIN")
+        begin = p.peek().at
+        ends = [t for t in p.tokens if t.word() == "END" and t.at > begin]
+        if not ends:
+            raise SqlError("END expected")
+        query = text[begin : ends[-1].at].strip().rstrip(";")
+        first = self.find(_first_table(parse_query(query))).schema
+        if [f.dataType for f in first] != [f.dataType for f in schema]:
+            raise SqlError("a procedure takes the columns of its query's first table")
+        self.deployments[name], self.procedures[name] = query, first
+
+    def _create_function(self, p: Parser) -> None:
+        """``CREATE [AGGREGATE] FUNCTION f(types) RETURNS type OPTIONS (FILE='f.py')``: functions of a Python file.
+
+        A function of that name in the file takes and gives pandas series. An aggregate has ``f_init()``, ``f_update(state, value)``, ``f_merge(state,
+        state)``, which may be missing, and ``f_output(state)``; known values come oldest first.
+        """
+        whole = p.take("AGGREGATE")
+        p.need("FUNCTION")
+        name = p.name()[-1].lower()
+        p.need("(")
+        kinds = []
+        while not p.take(")"):
+            kinds.append(p.type_name())
+            p.take(",")
+        p.need("RETURNS")
+        kind = p.type_name()
+        given = self._options(p)
+        if unknown := sorted(set(given) - {"file", "arg_nullable", "return_nullable"}):
+            raise SqlError(f"options {unknown} aren't served")
+        if name in scalar.REGISTRY or name in aggregates.REGISTRY:
+            raise SqlError(f"function {name} exists")
+        make = own.aggregate if whole else own.function
+        (aggregates.REGISTRY if whole else scalar.REGISTRY)[name] = make(str(given["file"]), name, kinds, kind)
+        self.functions[name] = f"{'aggregate ' if whole else ''}{name}({', '.join(kinds)}) {kind}"
+
     def _names(self, p: Parser) -> list[str]:
         out = [p.identifier()]
         while p.take(","):
@@ -241,12 +332,20 @@ class Session:
 
     def _drop(self, p: Parser, text: str):
         kind = p.next().word()
+        if kind == "AGGREGATE":
+            kind = p.next().word()
         given = p.take("IF", "EXISTS")
         name = p.name()
         if kind == "DATABASE":
             self.databases.pop(name[0].lower(), None)
-        elif kind == "DEPLOYMENT":
+        elif kind == "FUNCTION":
+            if self.functions.pop(name[-1].lower(), None) is None and not given:
+                raise SqlError(f"no function {name[-1]}")
+            for registry in (scalar.REGISTRY, aggregates.REGISTRY):
+                registry.pop(name[-1].lower(), None)
+        elif kind in ("DEPLOYMENT", "PROCEDURE"):
             self.deployments.pop(name[-1].lower(), None)
+            self.procedures.pop(name[-1].lower(), None)
             self.long_windows.pop(name[-1].lower(), None)
         elif kind == "INDEX":
             t = self.find(name[:-1])
@@ -293,28 +392,21 @@ class Session:
         if p.take("("):
             columns = self._names(p)
         p.need("VALUES")
-        compiler, rows = Compiler(self.spark, self.table), []
-        one = self.spark.range(1)
+        rows = []
         while True:
             p.need("(")
             values = []
             while not p.take(")"):
                 values.append(p.expression())
                 p.take(",")
-            if len(values) != len(columns):
-                raise SqlError("as many values as columns are needed")
             rows.append(values)
             if not p.take(","):
                 break
-        out = None
-        for values in rows:
-            given = {c.lower(): compiler.value(v, Scope(one)) for c, v in zip(columns, values)}
-            cells = [(given.get(f.name.lower(), F.lit(t.defaults.get(f.name))), f) for f in t.schema]
-            row = one.select(*[_converted(c, f.dataType).alias(f.name) for c, f in cells])
-            out = row if out is None else out.unionByName(row)
-        missing = [c for c in t.required if out.filter(F.col(f"`{c}`").isNull()).limit(1).count()]
-        if missing:
-            raise SqlError(f"columns {missing} may not be NULL")
+        out = self._rows(t.schema, columns, rows, t.defaults)
+        if t.required:
+            held = out.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(t.required)]).first()
+            if missing := [c for c, n in zip(t.required, held) if n]:
+                raise SqlError(f"columns {missing} may not be NULL")
         self._append(t, out, absent, name)
 
     def _load(self, p: Parser, text: str):
@@ -355,6 +447,8 @@ class Session:
         given = p.take("IF", "NOT", "EXISTS")
         name = p.identifier().lower()
         options = self._options(p)
+        if unknown := sorted(set(options) - {"long_windows", "skip_index_check", "sync", "range_bias", "rows_bias"}):
+            raise SqlError(f"options {unknown} aren't served")
         query = self._rest(p, text)
         long = _long_windows(options.get("long_windows"), parse_query(query))
         if name in self.deployments:
@@ -372,28 +466,57 @@ class Session:
         return RequestCompiler(self.spark, self.table, rows, self.long_windows.get(name.lower())).query(query, {})
 
     def _call(self, p: Parser, text: str):
+        """``CALL name(values)``: a deployment or procedure for one request row."""
         name = p.name()[-1].lower()
         p.need("(")
         values = []
         while not p.take(")"):
             values.append(p.expression())
             p.take(",")
-        query = parse_query(self.deployments[name])
-        source = query.source.query
-        schema = self.find(source).schema
-        compiler, one = Compiler(self.spark, self.table), self.spark.range(1)
-        row = one.select(*[_converted(compiler.value(v, Scope(one)), f.dataType).alias(f.name) for v, f in zip(values, schema)])
-        return self.request(name, row)
+        if name not in self.deployments:
+            raise SqlError(f"no deployment or procedure {name}")
+        schema = self.procedures.get(name) or self.find(_first_table(parse_query(self.deployments[name]))).schema
+        return self.request(name, self._rows(schema, schema.names, [values], {}))
 
     # ---- looking
 
     def _show(self, p: Parser, text: str):
         what = p.next().word()
-        rows = {"DATABASES": lambda: sorted(self.databases), "TABLES": lambda: sorted(self.databases[self.current]), "DEPLOYMENTS": lambda: sorted(self.deployments), "VARIABLES": lambda: [f"{k}={v}" for k, v in sorted(self.variables.items())], "FUNCTIONS": lambda: sorted(scalar.REGISTRY)}
+        if what in ("DEPLOYMENT", "PROCEDURE") or what == "CREATE" and p.take("PROCEDURE"):
+            name = p.name()[-1].lower()
+            if name not in self.deployments:
+                raise SqlError(f"no deployment or procedure {name}")
+            query = self.deployments[name]
+            inputs = self.find(_first_table(parse_query(query))).schema
+            outputs = self.request(name, self.spark.createDataFrame([], inputs)).schema
+            rows = [(name, query, *(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x) for x in (inputs, outputs)))]
+            return self.spark.createDataFrame(rows, "name string, query string, inputs string, outputs string")
+        if what == "CREATE":
+            p.need("TABLE")
+            name = p.name()
+            return self.spark.createDataFrame([(name[-1], self._definition(name[-1], self.find(name)))], "table string, statement string")
+        if what == "TABLE":
+            p.need("STATUS")
+            rows = [(database, name, t.path or "", len(t.external), len(t.indexes), self.table((database, name)).count()) for database, ts in sorted(self.databases.items()) for name, t in sorted(ts.items())]
+            return self.spark.createDataFrame(rows, "database string, name string, path string, external_files int, indexes int, rows bigint")
+        rows = {
+            "DATABASES": lambda: sorted(self.databases), "TABLES": lambda: sorted(self.databases[self.current]), "DEPLOYMENTS": lambda: sorted(self.deployments), "PROCEDURES": lambda: sorted(self.procedures),
+            "VARIABLES": lambda: [f"{k}={v}" for k, v in sorted(self.variables.items())], "FUNCTIONS": lambda: sorted({*scalar.REGISTRY, *self.functions}),
+        }
         if what not in rows:
             raise SqlError(f"SHOW {what}?")
         return self.spark.createDataFrame([(x,) for x in rows[what]()], "name string")
 
+    def _definition(self, name: str, t: Table) -> str:
+        """The statement that makes a table like this one."""
+        literal = lambda v: "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v).lower()
+        parts = [f"`{f.name}` {f.dataType.simpleString()}" + (" NOT NULL" if f.name in t.required else "") + (f" DEFAULT {literal(t.defaults[f.name])}" if f.name in t.defaults else "") for f in t.schema]
+        for i in t.indexes:
+            ttl = {"absolute": f"{i.ttl}m", "latest": str(i.ttl_rows)}.get(i.ttl_kind, f"({i.ttl}m, {i.ttl_rows})")
+            kept = f", TTL_TYPE={i.ttl_kind}, TTL={ttl}" if i.ttl or i.ttl_rows else ""
+            parts.append(f"INDEX(KEY=({', '.join(f'`{k}`' for k in i.keys)})" + (f", TS=`{i.time}`" if i.time else "") + kept + ")")
+        return f"CREATE TABLE `{name}` (\n" + ",\n".join(f"  {x}" for x in parts) + "\n)"
+
     def _desc(self, p: Parser, text: str):
         t = self.find(p.name())
         return self.spark.createDataFrame([(f.name, f.dataType.simpleString(), f.name not in t.required) for f in t.schema], "field string, type string, nullable boolean")
@@ -412,8 +535,6 @@ class Session:
 
     def register_aggregate(self, name: str, zero: Column, update: Callable, output: Callable | None = None) -> None:
         """Makes an aggregate of a start value, an update and an output, all over columns; rows come newest first, NULL is skipped."""
-        from tidemark.functions import aggregates
-
         def run(s, x: Column) -> Column:
             return F.aggregate(F.reverse(s.list(x)), zero, update, *([output] if output else []))
 
@@ -421,27 +542,36 @@ class Session:
 
 
 class RequestCompiler(Compiler):
-    """Compiles a query for request rows: the first table is the requests, and windows see its history."""
+    """Compiles a query for request rows: the first table is the requests, and windows see its history.
+
+    A select that has windows is compiled twice up to them: for the requests, and for the history that their windows see. So a window over joined tables
+    or over a subquery sees each history row with the joins and columns that the request row has.
+    """
 
     def __init__(self, spark: SparkSession, tables, rows: DataFrame, long_windows: dict[str, int] | None = None):
         super().__init__(spark, tables)
         self.rows, self.history = rows, None
         self.long_windows = long_windows or {}
+        self.past: DataFrame | None = None  # the history of the select at hand
+        self.plain = False  # whether all rows are meant
 
     def table(self, source, env, number):
         alias, df, columns = super().table(source, env, number)
-        if number == 0 and isinstance(source.query, tuple) and self.history is None:
+        if number == 0 and isinstance(source.query, tuple) and self.history is None and not self.plain:
             self.history = df
             df = self.rows.select(*columns).toDF(*df.columns)
         return alias, df, columns
 
     def frame(self, spec, scope, env):
         f = super().frame(spec, scope, env)
-        if len(self.history.columns) != len(scope.df.columns):
-            raise SqlError("a window over joined tables isn't served; join in a query around it")
-        return request_frame(scope.df, self.history.select(*scope.df.columns), f)
+        return f if self.plain else request_frame(scope.df, self.past.select(*scope.df.columns), f)
 
     def windowed(self, q, scope, calls, done, env):
+        if self.plain:
+            return super().windowed(q, scope, calls, done, env)
+        self.plain = True
+        self.past = self.sources(q, env).df
+        self.plain = False
         parts: dict[tuple, list] = {}
         for c in calls:
             if self.from_buckets(c, q, scope, env):
@@ -514,6 +644,20 @@ def _long_windows(given: str | None, query) -> dict[str, int]:
     return out
 
 
+def _first_table(query) -> tuple[str, ...]:
+    """The name of the table that a query reads first, whose rows requests are."""
+    while not isinstance(query, tuple):
+        query = query.query if isinstance(query, With) else query.parts[0] if isinstance(query, SetOp) else query.source.query
+    return query
+
+
+def _number(text: Column, kind: T.DataType) -> Column:
+    """A literal written as text; for a time a whole number is milliseconds."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(F.date_format(F.timestamp_millis(text.try_cast("bigint")), "yyyy-MM-dd HH:mm:ss.SSS"), text)
+    return text
+
+
 def _converted(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return scalar.timestamp(c).cast(kind)

@@ -12,6 +12,9 @@ FILE_FORMATS = ("csv", "parquet")
 CATALOG_FORMATS = ("hive", "iceberg", "tidb", "table")
 MODES = {"error_if_exists": "errorifexists", "errorifexists": "errorifexists", "error": "errorifexists", "overwrite": "overwrite", "append": "append"}
 
+#: Options of loading that don't change what is loaded.
+WITHOUT_EFFECT = {"thread", "writer_type", "load_mode", "skip_cvt"}
+
 
 @dataclass(frozen=True)
 class Options:
@@ -30,7 +33,10 @@ class Options:
 
     @classmethod
     def of(cls, given: dict) -> Options:
+        """Options as a statement gives them; one that isn't served is an error, but for those that only say how a loader of its own would work."""
         known = {k: v for k, v in given.items() if k in cls.__dataclass_fields__}
+        if unknown := sorted(set(given) - set(known) - WITHOUT_EFFECT):
+            raise ValueError(f"options {unknown} aren't served")
         if "mode" in known and known["mode"] not in MODES:
             raise ValueError(f"unknown mode {known['mode']}")
         return cls(**known)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.clicks import clicks, known
-from tidemark.operators.feature_table import event_counts, feature_table, since_seconds, type_list
+from tidemark.operators.feature_table import MEASURES, event_counts, feature_table, since_seconds, type_list
 from tidemark.operators.rolling import daily_totals, rolling_totals, with_silent_days
 from tidemark.operators.sessions import sessions
 from tidemark.operators.skew import skewed_groups
@@ -30,10 +32,26 @@ def _counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
     return raw, event_counts(clicks(raw, "ip", "app", "channel", "click_time"), "ip", ["app", "channel"], "time_us", as_of), as_of
 
 
-def p1_features(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per ip; see ``feature_table``. The recency is measured from the latest click of the table."""
+def p1_features(spark: SparkSession, sf: str, apps: Sequence[int] | None = None) -> DataFrame:
+    """One row per ip; see ``feature_table``. The recency is measured from the latest click of the table.
+
+    ``apps`` is the explicit list that becomes columns, so that results over different data have the same ones; without it, the apps of the table.
+    """
     raw, counts, as_of = _counts(spark, sf)
-    return feature_table(counts, "ip", "app", "channel", type_list(raw, "app"), as_of)
+    return feature_table(counts, "ip", "app", "channel", type_list(raw, "app") if apps is None else apps, as_of)
+
+
+def p1_unpivoted(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table as rows again, one per ip and app (channel NULL) and per ip, app and channel, and one per ip (app NULL as well)."""
+    wide = p1_features(spark, sf)
+    own = lambda c: [F.col(c)[m].alias(m) for m in MEASURES]
+    apps = [c for c in wide.columns if c.startswith("app_") and c != "app_channel"]
+    each = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c.removeprefix("app_")).alias("app"), F.lit(None).cast("string").alias("channel"), *own(c))) for c in apps]))
+    parts = lambda e: F.split(e["key"], ":")
+    pairs = F.transform(F.map_entries("app_channel"), lambda e: F.struct(parts(e)[0].alias("app"), parts(e)[1].alias("channel"), *[e["value"][m].alias(m) for m in MEASURES]))
+    total = F.array(F.struct(F.lit(None).cast("string").alias("app"), F.lit(None).cast("string").alias("channel"), *MEASURES))
+    found = wide.select("ip", F.explode(F.concat(total, each, pairs) if apps else F.concat(total, pairs)).alias("e"))
+    return found.select("ip", *[F.col("e")[c].cast("int").alias(c) for c in ("app", "channel")], F.col("e.clicks").alias("clicks"), F.round("e.since_last_s", 3).alias("since_last_s"), "e.clicks_7d", "e.clicks_30d")
 
 
 def p1_event_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,13 +133,19 @@ _DAYS = _CLICKS + """, a AS (SELECT ip, CAST(t AS DATE) AS d, count(*) AS clicks
 _SESSIONS = _CLICKS + """, k AS (SELECT ip, device, t, CASE WHEN t - lag(t) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM c WHERE ip IS NOT NULL AND device IS NOT NULL AND t IS NOT NULL WINDOW w AS (PARTITION BY ip, device ORDER BY t)),
 s AS (SELECT ip, device, t, sum(f) OVER (PARTITION BY ip, device ORDER BY t) AS s FROM k)"""
 
-QUERIES = {f.__name__: f for f in (p1_features, p1_event_counts, p2_found, p2_ip_results, p2_pair_results, p5_found, p5_rolling, p6_found, p6_sessions)}
+_UNPIVOTED = """SELECT ip, CAST({app} AS INTEGER) AS app, CAST({channel} AS INTEGER) AS channel, count(*) AS clicks, round(epoch_us(a) / 1e6 - epoch_us(max(t)) / 1e6, 3) AS since_last_s,
+CAST(count(*) FILTER (WHERE t > a - INTERVAL 7 DAY) AS BIGINT) AS clicks_7d, CAST(count(*) FILTER (WHERE t > a - INTERVAL 30 DAY) AS BIGINT) AS clicks_30d FROM k WHERE {where} GROUP BY ip, a{by}"""
+
+QUERIES = {f.__name__: f for f in (p1_features, p1_event_counts, p1_unpivoted, p2_found, p2_ip_results, p2_pair_results, p5_found, p5_rolling, p6_found, p6_sessions)}
 
 SQL = {
     "p1_event_counts": _CLICKS
     + """ SELECT ip, app, channel, count(*) AS clicks, round(epoch_us(a) / 1e6 - epoch_us(max(t)) / 1e6, 3) AS since_last_s,
 CAST(count(*) FILTER (WHERE t > a - INTERVAL 7 DAY) AS BIGINT) AS clicks_7d, CAST(count(*) FILTER (WHERE t > a - INTERVAL 30 DAY) AS BIGINT) AS clicks_30d
 FROM c, ref WHERE ip IS NOT NULL GROUP BY ip, app, channel, a""",
+    "p1_unpivoted": _CLICKS
+    + ", k AS (SELECT ip, app, channel, t, a FROM c, ref WHERE ip IS NOT NULL) "
+    + " UNION ALL ".join(_UNPIVOTED.format(app=app, channel=channel, where=where, by=by) for app, channel, where, by in (("NULL", "NULL", "true", ""), ("app", "NULL", "app IS NOT NULL", ", app"), ("app", "channel", "app IS NOT NULL AND channel IS NOT NULL", ", app, channel"))),
     "p2_found": "SELECT ip, app FROM train_schema WHERE ip IS NOT NULL AND app IS NOT NULL GROUP BY ip, app HAVING count(*) * 100 >= (SELECT count(*) FROM train_schema)",
     "p2_ip_results": _PER_KEY.format(keys="ip"),
     "p2_pair_results": _PER_KEY.format(keys="ip, app"),

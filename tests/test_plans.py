@@ -32,6 +32,16 @@ def test_windows_of_one_partition_share_a_shuffle(table):
     assert "unused" not in re.search(r"ReadSchema: (.*)", plan(df)).group(1)
 
 
+@pytest.mark.parametrize("frame", [
+    dict(kind="rows_range", start=5, maxsize=3), dict(kind="rows_range", start=None, maxsize=3, exclude_current_row=True), dict(kind="rows_range", start=None, exclude_current_time=True), dict(kind="rows", start=4, exclude_current_time=True),
+    dict(kind="rows_range", start=5, instance_not_in_window=True), dict(kind="rows_range", start=5, instance_not_in_window=True, maxsize=2), dict(kind="rows", start=None, instance_not_in_window=True), dict(kind="rows_range", start=None, instance_not_in_window=True),
+])
+def test_frames_that_pick_rows_collect_none(table, frame):
+    base = Frame(["k"], "t", tie=["id"], **frame, unions=[table])
+    df = window_features(table, [(base, [Feature(n, "v", alias=n) for n in ("count", "sum", "avg", "min", "max")])], ["id"])
+    assert "collect_list" not in plan(df) and shuffles(df) == (1 if frame["kind"] == "rows_range" or not frame.get("exclude_current_time") else shuffles(df))
+
+
 def test_dialect_prunes_and_pushes(spark, table):
     df = compile_query(spark, "SELECT id, v + 1 AS w FROM t WHERE k = 3 AND t > 10", lambda n: table)
     text = plan(df)

@@ -3,7 +3,8 @@
 A ``Frame`` describes partition, order and extent; ``prepare`` gives the input the helper columns that the
 extent needs, and ``Scope`` evaluates aggregates over it. Frames that are one Spark frame (ROWS, ROWS_RANGE,
 with OPEN bounds or without the current row) use native aggregates. Those that pick rows within a Spark frame
-(MAXSIZE, EXCLUDE CURRENT_TIME, INSTANCE_NOT_IN_WINDOW) collect the values of the smallest native frame that
+(MAXSIZE, EXCLUDE CURRENT_TIME, INSTANCE_NOT_IN_WINDOW) are put together for count, sum, avg, min and max: native aggregates of the rows
+before the current one, and the current row's own value. Other aggregates over them collect the values of the smallest native frame that
 holds them, and aggregate the array.
 """
 
@@ -242,6 +243,55 @@ class Scope:
             return values
         return F.concat(values, F.array(value))
 
+    # ---- aggregates put together from native ones
+
+    def _pieces(self) -> list[WindowSpec] | None:
+        """Native frames of the rows before the current one, for frames that pick rows. The frame has the rows of all of them, which is those of the
+        smallest, as each holds the newest rows up to some point. None where arrays are needed; an empty list where no such row is in the frame."""
+        f = self.frame
+        if f is None or self.native or f.maxsize is not None and (f.end or f.end_open or f.exclude_current_time):
+            return None
+        start = None if f.start is None else f.start - f.start_open
+        first = Window.unboundedPreceding if start is None else -(start * PEERS + PEERS // 2)
+        others = None if f.maxsize is None else f.maxsize if f.exclude_current_row else f.maxsize - 1
+        if others == 0:
+            return []
+        ended = bool(f.end or f.end_open)
+        if f.instance_not_in_window:
+            numbered = Window.partitionBy(*f.partition_by).orderBy("__union_rows")
+            if f.kind == "rows":
+                if f.start == 0:
+                    return []
+                return [numbered.rangeBetween(Window.unboundedPreceding if f.start is None else -(f.start - 1), -max(f.end - 1, 0))]
+            timed = self._spec() if ended else self._ordered("__key").rangeBetween(first, 0)
+            return [timed] if others is None else [timed, numbered.rangeBetween(-(others - 1), 0)]
+        if f.exclude_current_time:
+            if f.kind == "rows":
+                return [] if start == 0 else [self._ordered("__key").rowsBetween(Window.unboundedPreceding if start is None else -start, -1)] if not ended else None
+            return [self._spec() if ended else self._ordered("__key").rangeBetween(first, -(PEERS // 2))]
+        return [self._ordered("__key").rangeBetween(first, -1), self._ordered("__key").rowsBetween(-others, -1)]
+
+    def _past(self, pieces: list[WindowSpec], f: Callable[[Column], Column], value: Column) -> Column:
+        """An aggregate of the rows before the current one; NULL where there is no such row."""
+        if not pieces:
+            return F.lit(None)
+        picked, one = value, F.lit(1)
+        if self.frame.instance_not_in_window:
+            picked, one = F.when(~F.col("__main"), value), F.when(~F.col("__main"), 1)
+        found = f(picked).over(pieces[0])
+        if len(pieces) > 1:
+            return F.when(F.count(one).over(pieces[0]) <= F.count(one).over(pieces[1]), found).otherwise(f(picked).over(pieces[1]))
+        if self.frame.exclude_current_time and self.frame.kind == "rows" and not self.frame.instance_not_in_window:
+            # what comes before the first row of a time holds for the others of that time
+            name = f"__before{len(self.df.columns)}"
+            self.df = self.df.withColumn(name, found)
+            return F.first(name).over(Window.partitionBy(*self.frame.partition_by, "__ms").orderBy("__seq"))
+        return found
+
+    def _own(self, value: Column) -> Column:
+        f = self.frame
+        return F.lit(None).cast(self.type_of(value)) if f.exclude_current_row or f.end or f.end_open else value
+
     def list(self, value: Column) -> Column:
         """Known values, oldest first."""
         return F.filter(self.rows(value), lambda v: v.isNotNull())
@@ -249,7 +299,16 @@ class Scope:
     # ---- base aggregates: native where the frame is, of an array where it isn't
 
     def count(self, value: Column) -> Column:
-        return self.native(F.count(value)) if self.native else F.size(self.list(value)).cast("long")
+        if self.native:
+            return self.native(F.count(value))
+        pieces = self._pieces()
+        if pieces is None:
+            return F.size(self.list(value)).cast("long")
+        return F.coalesce(self._past(pieces, F.count, value).cast("long"), F.lit(0)) + F.when(self._own(value).isNotNull(), F.lit(1)).otherwise(F.lit(0))
+
+    def _total(self, value: Column, pieces: list[WindowSpec]) -> Column:
+        past, own = self._past(pieces, F.sum, value).cast(self.type_of(value)), self._own(value)
+        return F.coalesce(past + own, past, own)
 
     def sum(self, value: Column) -> Column:
         """Keeps the type and wraps around like it; NULL without a known value."""
@@ -257,6 +316,9 @@ class Scope:
         wide = "double" if kind in ("float", "double") else "bigint"
         if self.native:
             return wrapped(self.native(F.sum(value.cast(wide))), kind)
+        pieces = self._pieces()
+        if pieces is not None:
+            return wrapped(self._total(value.cast(wide), pieces), kind)
         xs = self.list(value)
         return wrapped(F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0).cast(wide), lambda a, x: a + x.cast(wide))), kind)
 
@@ -264,14 +326,25 @@ class Scope:
         value = value.cast("double")
         if self.native:
             return self.native(F.avg(value))
+        pieces = self._pieces()
+        if pieces is not None:
+            return self._total(value, pieces) / F.nullif(self.count(value), F.lit(0))
         xs = self.list(value)
         return F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs))
 
     def min(self, value: Column) -> Column:
-        return self.native(F.min(value)) if self.native else F.array_min(self.list(value))
+        return self._extreme(value, F.min, F.array_min, F.least)
 
     def max(self, value: Column) -> Column:
-        return self.native(F.max(value)) if self.native else F.array_max(self.list(value))
+        return self._extreme(value, F.max, F.array_max, F.greatest)
+
+    def _extreme(self, value: Column, native: Callable, of_array: Callable, of_two: Callable) -> Column:
+        if self.native:
+            return self.native(native(value))
+        pieces = self._pieces()
+        if pieces is None:
+            return of_array(self.list(value))
+        return of_two(self._past(pieces, native, value).cast(self.type_of(value)), self._own(value))
 
     def variance(self, value: Column, sample: bool) -> Column:
         value = value.cast("double")

@@ -41,7 +41,7 @@ def test_buckets_are_built_and_no_rows_are_collected(session):
     session.sql(f"DEPLOY plain {q}")
     session.sql(f'DEPLOY long OPTIONS (LONG_WINDOWS="w") {q}')
     plans = [session.request(n, session.asked)._jdf.queryExecution().optimizedPlan().toString() for n in ("plain", "long")]
-    assert ["bucket" in p for p in plans] == [False, True] and ["collect_list" in p for p in plans] == [True, False]
+    assert ["bucket" in p for p in plans] == [False, True] and not any("collect_list" in p for p in plans)
     assert session.long_windows["long"] == {"w": DAY}
     session.sql("DROP DEPLOYMENT long")
     assert "long" not in session.long_windows

@@ -576,7 +576,7 @@ class RequestCompiler(Compiler):
         for c in calls:
             if self.from_buckets(c, q, scope, env):
                 base = c.name.removesuffix("_where")
-                parts.setdefault((str(c.window).lower(), c.args, c.name != base, "range" if base in ("min", "max") else base), []).append(c)
+                parts.setdefault((str(c.window).lower(), c.args, c.name != base, self.together(c, base, scope)), []).append(c)
         long = {c for cs in parts.values() for c in cs}
         rest = [c for c in calls if c not in long]
         df = super().windowed(q, scope, rest, done, env) if rest else scope.df
@@ -599,12 +599,21 @@ class RequestCompiler(Compiler):
             return False
         return base == "count" or not isinstance(c.args[0], Star) and self.type_of(self.value(c.args[0], scope), scope) in _NUMBERS
 
+    def together(self, c, base: str, scope: Scope) -> str:
+        """Which aggregates of one argument share their buckets: all, where the sum of its values as they are can't leave its type."""
+        if isinstance(c.args[0], Star):
+            return base
+        kind = self.type_of(self.value(c.args[0], scope), scope)
+        return "all" if kind in _NUMBERS - {"bigint"} else "range" if base in ("min", "max") else base
+
     def bucketed(self, df: DataFrame, scope: Scope, f, bucket_ms: int, calls: list, number: int, done: dict) -> DataFrame:
         """Rows of ``df`` with aggregates of one argument over a long window: the history's from buckets, and the row's own value."""
         base = calls[0].name.removesuffix("_where")
         value = F.lit(1) if isinstance(calls[0].args[0], Star) else self.value(calls[0].args[0], scope)
         kind = self.type_of(value, scope)
-        if base == "count":
+        if kind in _NUMBERS - {"bigint"} and not isinstance(calls[0].args[0], Star):
+            value = value.cast("double" if kind in ("float", "double") else "bigint")
+        elif base == "count":
             value = F.when(value.isNotNull(), F.lit(1))
         elif base == "avg" or base == "sum":
             value = value.cast("double" if base == "avg" or kind in ("float", "double") else "bigint")

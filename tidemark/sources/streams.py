@@ -7,10 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _messages(raw: DataFrame, column: str, schema: T.StructType) -> DataFrame:
+    return raw.select(F.from_json(F.col(column).cast("string"), schema).alias("r")).select("r.*")
+
+
 def kafka_rows(spark: SparkSession, servers: str, topic: str, schema: T.StructType, options: dict | None = None) -> DataFrame:
     """JSON messages of a topic as rows; needs Spark's Kafka connector on the class path. Bad messages are rows of NULLs."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**(options or {})).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
+    return _messages(raw, "value", schema)
+
+
+def pulsar_rows(spark: SparkSession, service: str, admin: str, topic: str, schema: T.StructType, options: dict | None = None) -> DataFrame:
+    """The same for a Pulsar topic of JSON as bytes; needs the Pulsar connector of Spark on the class path."""
+    raw = spark.readStream.format("pulsar").option("service.url", service).option("admin.url", admin).option("topic", topic).options(**(options or {})).load()
+    return _messages(raw, "value", schema)
+
+
+def rocketmq_rows(spark: SparkSession, servers: str, topic: str, schema: T.StructType, options: dict | None = None) -> DataFrame:
+    """The same for a RocketMQ topic; needs the RocketMQ connector of Spark on the class path."""
+    raw = spark.readStream.format("rocketmq").option("nameServer", servers).option("topic", topic).options(**(options or {})).load()
+    return _messages(raw, "body", schema)
 
 
 def file_rows(spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet", files_per_batch: int = 1000) -> DataFrame:

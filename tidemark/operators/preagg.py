@@ -35,17 +35,48 @@ def merge_buckets(*tables: DataFrame) -> DataFrame:
     return whole.groupBy(*keys).agg(*[f(c).alias(c) for c, f in MERGE.items()])
 
 
+def _levels(buckets: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """Buckets of one, two, four, ... times the length, up to ``2 ** most``, as ``level`` and ``bucket``; combined before the one shuffle they take."""
+    every = buckets.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("bucket", F.expr("shiftright(bucket, level)"))
+    return every.groupBy(*keys, "level", "bucket").agg(*[f(c).alias(c) for c, f in MERGE.items()])
+
+
+def _cover(first: Column, last: Column, most: int) -> Column:
+    """The fewest buckets of ``_levels`` that cover those from ``first`` to ``last``, at most two a level: an array of level and bucket."""
+    none = F.array().cast("array<struct<level:int,bucket:bigint>>")
+    place = lambda level, b: F.array(F.struct(level.alias("level"), b.cast("long").alias("bucket")))
+
+    def step(a: Column, level: Column) -> Column:
+        low, high = a["low"], a["high"]
+        final = level == most  # whatever is left lies in whole buckets of the greatest length
+        left = (low <= high) & ~final & (F.pmod(low, F.lit(2)) == 1)
+        right = (low <= high) & ~final & (F.pmod(high, F.lit(2)) == 0) & ~(left & (low == high))
+        some = F.when(left, place(level, low)).otherwise(none)
+        more = F.when(right, place(level, high)).otherwise(none)
+        rest = F.when(final & (low <= high), F.transform(F.sequence(low, high), lambda b: F.struct(level.alias("level"), b.alias("bucket")))).otherwise(none)
+        low, high = F.when(left, low + 1).otherwise(low), F.when(right, high - 1).otherwise(high)
+        halved = lambda c: F.shiftright(c, 1)
+        # an empty rest stays empty: halving could make it look like one bucket
+        empty = low > high
+        return F.struct(F.when(empty, F.lit(1)).otherwise(halved(low)).cast("long").alias("low"), F.when(empty, F.lit(0)).otherwise(halved(high)).cast("long").alias("high"), F.concat(a["found"], some, more, rest).alias("found"))
+
+    zero = F.struct(first.cast("long").alias("low"), last.cast("long").alias("high"), none.alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most)), zero, step)["found"]
+
+
 def long_window(requests: DataFrame, history: DataFrame, buckets: DataFrame, keys: Sequence[str], time: str, value: Column, window_ms: int, bucket_ms: int, where: Column | None = None) -> DataFrame:
     """Requests with ``count``, ``sum``, ``avg``, ``min`` and ``max`` over the history of their key in [time - window, time].
 
-    Buckets wholly inside the window come from ``buckets``. In the two at its edges the requests take their place among the
+    Buckets wholly inside the window come from ``buckets``, which are put together to longer ones first, so that a request meets two of each
+    length at most however long its window is. In the two at its edges the requests take their place among the
     bucket's rows, and running totals of that bucket answer them; no pairs of requests and rows are built, and a hot key's work is
     split by bucket. Equal requests are computed once. A NULL key or time matches nothing.
     """
     asked = requests.select(*keys, millis(requests, time).alias("__t")).distinct()
     first, last = floor_div(F.col("__t") - window_ms, bucket_ms), floor_div(F.col("__t"), bucket_ms)
-    inner = asked.withColumn("bucket", F.explode(F.when(last - first > 1, F.sequence(first + 1, last - 1)).otherwise(F.array().cast("array<bigint>"))))
-    whole = inner.join(buckets, [*keys, "bucket"]).select(*keys, "__t", *MERGE)
+    most = max(0, (window_ms // bucket_ms).bit_length() - 2)
+    inner = asked.withColumn("__b", F.explode(_cover(first + 1, last - 1, most))).select(*keys, "__t", F.col("__b.level").alias("level"), F.col("__b.bucket").alias("bucket"))
+    whole = inner.join(_levels(buckets, keys, most), [*keys, "level", "bucket"]).select(*keys, "__t", *MERGE)
 
     rows = history if where is None else history.filter(where)
     none = F.lit(None).cast("bigint")

@@ -416,7 +416,14 @@ dialect(
     "SELECT o_orderkey, csv(multiclass_label(o_custkey), continuous(o_orderkey), continuous(o_custkey)) AS a, libsvm(binary_label(o_orderkey % 2 = 0), continuous(o_orderkey), continuous(o_custkey)) AS b FROM orders",
     "SELECT o_orderkey, o_custkey || ',' || o_orderkey || ',' || o_custkey AS a, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END || ' 1:' || o_orderkey || ' 2:' || o_custkey AS b FROM orders",
 )
-dialect("sample_lines_hashed", "SELECT o_orderkey, gcformat(multiclass_label(o_custkey), continuous(o_totalprice), discrete(o_orderstatus), discrete(o_custkey, 1000)) AS a, hash64(o_orderpriority) AS h FROM orders")
+# published fingerprints of three strings and of slot numbers: fixed values
+dialect(
+    "sample_lines_hashed",
+    """SELECT o_orderkey, hash64(CASE o_orderkey % 3 WHEN 0 THEN '1footrue' WHEN 1 THEN '2applefalse' ELSE '3true' END) AS h, farm_fingerprint(concat('3', string(o_orderkey = o_orderkey))) AS g,
+gcformat(multiclass_label(o_custkey), continuous(o_orderkey), discrete('1footrue'), continuous(o_custkey)) AS a FROM orders""",
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN -1541654101129638711 WHEN 1 THEN 2794438866806483259 ELSE -4880158226897771312 END AS h, CAST(-4880158226897771312 AS BIGINT) AS g,
+o_custkey || ' | 1:5925585971146611297:' || o_orderkey || ' 2:-1541654101129638711 3:7262150054277104024:' || o_custkey AS a FROM orders""",
+)
 
 # ---- retention, buckets, requests
 

@@ -96,9 +96,29 @@ def stddev_pop(s: Scope, x: Column) -> Column:
     return F.sqrt(s.variance(x, False))
 
 
-def _tally(xs: Column) -> Column:
+def _runs(ordered: Column, key: Callable[[Column], Column], first: Callable[[Column], Column], further: Callable[[Column, Column], Column], value: Callable[[Column], Column], kinds: tuple[str, str, str]) -> Column:
+    """Array of (k, v), one for each run of equal keys of an ordered array, in one walk along it.
+
+    ``first`` gives the state of a run from its first element, ``further`` from the state so far and the next, ``value`` its value from (k, v, n); ``kinds`` are
+    the types of keys, states and values.
+    """
+    key_kind, state_kind, value_kind = kinds
+    pair = lambda a: F.struct(a["k"].cast(key_kind).alias("k"), value(a).cast(value_kind).alias("v"))
+    zero = F.struct(F.array().cast(f"array<struct<k:{key_kind},v:{value_kind}>>").alias("out"), F.lit(None).cast(key_kind).alias("k"), F.lit(None).cast(state_kind).alias("v"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(a: Column, e: Column) -> Column:
+        same = (a["n"] > 0) & (a["k"] == key(e))
+        out = F.when(same | (a["n"] == 0), a["out"]).otherwise(F.concat(a["out"], F.array(pair(a))))
+        state = F.when(same, further(a, e)).otherwise(first(e)).cast(state_kind)
+        return F.struct(out.alias("out"), key(e).cast(key_kind).alias("k"), state.alias("v"), F.when(same, a["n"] + 1).otherwise(F.lit(1)).cast("bigint").alias("n"))
+
+    return F.aggregate(ordered, zero, step, lambda a: F.when(a["n"] > 0, F.concat(a["out"], F.array(pair(a)))).otherwise(a["out"]))
+
+
+def _tally(xs: Column, kind: str) -> Column:
     """Array of (value, count), values ascending."""
-    return F.transform(F.array_sort(F.array_distinct(xs)), lambda k: F.struct(k.alias("k"), F.size(F.filter(xs, lambda x: x == k)).cast("long").alias("n")))
+    runs = _runs(F.array_sort(xs), lambda e: e, lambda e: F.lit(0), lambda a, e: F.lit(0), lambda a: a["n"], (kind, "int", "bigint"))
+    return F.transform(runs, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("n")))
 
 
 @aggregate("entropy")
@@ -106,7 +126,7 @@ def entropy(s: Scope, x: Column) -> Column:
     """Of the values' shares, in bits."""
     xs = s.list(x)
     total = F.size(xs).cast("double")
-    return F.when(total > 0, F.aggregate(_tally(xs), F.lit(0.0), lambda a, e: a - e["n"] / total * F.log2(e["n"] / total)))
+    return F.when(total > 0, F.aggregate(_tally(xs, s.type_of(x)), F.lit(0.0), lambda a, e: a - e["n"] / total * F.log2(e["n"] / total)))
 
 
 @aggregate("ew_avg")
@@ -145,7 +165,7 @@ def _int(n) -> Column:
 def topn_frequency(s: Scope, x: Column, n) -> Column:
     """The n most frequent values, smaller first among equals, filled up with "NULL"."""
     kind = s.type_of(x)
-    tally = F.transform(_tally(s.list(x)), lambda e: F.struct((-e["n"]).alias("n"), e["k"].alias("k")))
+    tally = F.transform(_tally(s.list(x), kind), lambda e: F.struct((-e["n"]).alias("n"), e["k"].alias("k")))
     best = F.transform(F.slice(F.array_sort(tally), F.lit(1), _int(n)), lambda e: fixed(e["k"], kind))
     return F.array_join(F.concat(best, F.array_repeat(F.lit("NULL"), _int(n) - F.size(best))), ",")
 
@@ -153,7 +173,7 @@ def topn_frequency(s: Scope, x: Column, n) -> Column:
 @aggregate("top1_ratio")
 def top1_ratio(s: Scope, x: Column) -> Column:
     xs = s.list(x)
-    return F.when(F.size(xs) > 0, F.array_max(F.transform(_tally(xs), lambda e: e["n"])) / F.size(xs)).otherwise(0.0)
+    return F.when(F.size(xs) > 0, F.array_max(F.transform(_tally(xs, s.type_of(x)), lambda e: e["n"])) / F.size(xs)).otherwise(0.0)
 
 
 for _n in ("count", "sum", "avg", "min", "max"):
@@ -176,19 +196,13 @@ def by_category(s: Scope, how: str, x: Column, category: Column, cond: Column |
     use = x.isNotNull() & category.isNotNull() & (F.coalesce(cond, F.lit(False)) if cond is not None else F.lit(True))
     kind = s.type_of(x)
     wide = "double" if how == "avg" or kind in ("float", "double") else "bigint"
-    rows = s.list(F.when(use, F.struct(category.alias("k"), x.alias("x"))))
-    keys = F.array_sort(F.array_distinct(F.transform(rows, lambda e: e["k"])))
-
-    def value(k: Column) -> Column:
-        xs = F.transform(F.filter(rows, lambda e: e["k"] == k), lambda e: e["x"])
-        if how == "count":
-            return F.size(xs).cast("long")
-        if how in ("min", "max"):
-            return (F.array_min if how == "min" else F.array_max)(xs)
-        total = F.aggregate(xs, F.lit(0).cast(wide), lambda a, v: a + v.cast(wide))
-        return total / F.size(xs) if how == "avg" else wrapped(total, kind)
-
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), value(k).alias("v")))
+    rows = F.array_sort(s.list(F.when(use, F.struct(category.alias("k"), x.alias("x")))))
+    state = {"sum": wide, "avg": wide, "count": "int"}.get(how, kind)
+    number = lambda e: F.lit(0) if how == "count" else e["x"].cast(state)
+    # in order of key and value: the first of a run is its least, the last its greatest
+    further = {"sum": lambda a, e: a["v"] + number(e), "avg": lambda a, e: a["v"] + number(e), "max": lambda a, e: number(e)}.get(how, lambda a, e: a["v"])
+    value = {"count": lambda a: a["n"], "avg": lambda a: a["v"] / a["n"], "sum": lambda a: wrapped(a["v"], kind)}.get(how, lambda a: a["v"])
+    return _runs(rows, lambda e: e["k"], number, further, value, (s.type_of(category), state, value_kind(how, kind)))
 
 
 def encode(pairs: Column, key_kind: str, value_kind: str) -> Column:

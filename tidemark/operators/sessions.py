@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.streaming.replay import replay
 from tidemark.timeutil import DAY_US, floor_div
 
+#: A stream's time begins at 1970; the timers run on time shifted by 4 000 years, so that earlier events aren't late.
+SHIFT_US = 4000 * 365 * DAY_US
+
 
 def fragments(events: DataFrame, keys: Sequence[str], time_us: str, gap_us: int) -> DataFrame:
     """Events of a key within one slot of the length of the gap, as one row: first, last and number.
@@ -34,7 +37,7 @@ def session_timers(stream: DataFrame, keys: Sequence[str], gap_us: int) -> DataF
     The timer of a session stands one gap after its last event; a fragment at that very moment still meets it. Time is that of the
     newest fragment: the stream must come in order of time, slice by slice.
     """
-    rows = stream.withColumn("__at", F.timestamp_micros("first_us")).withWatermark("__at", "0 seconds")
+    rows = stream.withColumn("__at", F.timestamp_micros(F.col("first_us") + SHIFT_US)).withWatermark("__at", "0 seconds")
     timer = F.make_interval(secs=((F.col("last_us") - F.col("first_us") + gap_us) / F.lit(1_000_000)).cast("decimal(18,6)"))
     held = rows.groupBy(*keys, F.session_window("__at", timer).alias("__session")).agg(F.min("first_us").alias("start_us"), F.max("last_us").alias("end_us"), F.sum("events").alias("events"))
     return held.select(*keys, "start_us", "end_us", "events")
@@ -51,7 +54,7 @@ def sessions(events: DataFrame, keys: Sequence[str], time_us: str, gap_us: int,
     part = fragments(events, keys, time_us, gap_us)
 
     def last(number: int) -> DataFrame:
-        at = (number + 2) * slice_us + 2 * gap_us
+        at = (number + 2) * slice_us + 2 * gap_us + 1_000_000  # a stream keeps its time in milliseconds
         return part.sparkSession.range(1).select(*[F.lit(None).cast(part.schema[k].dataType).alias(k) for k in keys], F.lit(at).alias("first_us"), F.lit(at).alias("last_us"), F.lit(0).alias("events"))
 
     found = replay(part, floor_div(F.col("first_us"), slice_us), lambda rows: session_timers(rows, keys, gap_us), last)

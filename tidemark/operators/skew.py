@@ -19,8 +19,8 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
     quarter of the share, so every key at or above ``share`` is among the result, others may be. At most
     ``2/share`` keys come back, whatever the table holds; that is the bound on which the broadcast of them rests.
     """
-    if not 0.001 <= share <= 1:
-        raise ValueError("share must be between 0.001 and 1")
+    if not 0.0001 <= share <= 1:
+        raise ValueError("share must be between 0.0001 and 1")
     most, tracked = int(2 / share), 1 << (int(16 / share) - 1).bit_length()
     # a NULL part is left out of the JSON and read back as NULL
     items = df.select(F.to_json(F.struct(*keys)).alias("k"), F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("m"))

@@ -115,8 +115,10 @@ def _runs(ordered: Column, key: Callable[[Column], Column], first: Callable[[Col
     return F.aggregate(ordered, zero, step, lambda a: F.when(a["n"] > 0, F.concat(a["out"], F.array(pair(a)))).otherwise(a["out"]))
 
 
-def _tally(xs: Column, kind: str) -> Column:
+def _tally(s: Scope, xs: Column, kind: str) -> Column:
     """Array of (value, count), values ascending."""
+    if _short(s):
+        return F.transform(F.array_sort(F.array_distinct(xs)), lambda k: F.struct(k.alias("k"), F.size(F.filter(xs, lambda x: x == k)).cast("long").alias("n")))
     runs = _runs(F.array_sort(xs), lambda e: e, lambda e: F.lit(0), lambda a, e: F.lit(0), lambda a: a["n"], (kind, "int", "bigint"))
     return F.transform(runs, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("n")))
 
@@ -126,7 +128,7 @@ def entropy(s: Scope, x: Column) -> Column:
     """Of the values' shares, in bits."""
     xs = s.list(x)
     total = F.size(xs).cast("double")
-    return F.when(total > 0, F.aggregate(_tally(xs, s.type_of(x)), F.lit(0.0), lambda a, e: a - e["n"] / total * F.log2(e["n"] / total)))
+    return F.when(total > 0, F.aggregate(_tally(s, xs, s.type_of(x)), F.lit(0.0), lambda a, e: a - e["n"] / total * F.log2(e["n"] / total)))
 
 
 @aggregate("ew_avg")
@@ -165,7 +167,7 @@ def _int(n) -> Column:
 def topn_frequency(s: Scope, x: Column, n) -> Column:
     """The n most frequent values, smaller first among equals, filled up with "NULL"."""
     kind = s.type_of(x)
-    tally = F.transform(_tally(s.list(x), kind), lambda e: F.struct((-e["n"]).alias("n"), e["k"].alias("k")))
+    tally = F.transform(_tally(s, s.list(x), kind), lambda e: F.struct((-e["n"]).alias("n"), e["k"].alias("k")))
     best = F.transform(F.slice(F.array_sort(tally), F.lit(1), _int(n)), lambda e: fixed(e["k"], kind))
     return F.array_join(F.concat(best, F.array_repeat(F.lit("NULL"), _int(n) - F.size(best))), ",")
 
@@ -173,7 +175,7 @@ def topn_frequency(s: Scope, x: Column, n) -> Column:
 @aggregate("top1_ratio")
 def top1_ratio(s: Scope, x: Column) -> Column:
     xs = s.list(x)
-    return F.when(F.size(xs) > 0, F.array_max(F.transform(_tally(xs, s.type_of(x)), lambda e: e["n"])) / F.size(xs)).otherwise(0.0)
+    return F.when(F.size(xs) > 0, F.array_max(F.transform(_tally(s, xs, s.type_of(x)), lambda e: e["n"])) / F.size(xs)).otherwise(0.0)
 
 
 for _n in ("count", "sum", "avg", "min", "max"):
@@ -191,12 +193,36 @@ def nth_value_where(s: Scope, x: Column, n, cond: Column) -> Column:
 # ---- by category
 
 
+def _short(s: Scope) -> bool:
+    """Whether a frame has few rows by its bounds, so that looking through them for each category costs less than a walk that keeps state."""
+    f = s.frame
+    most = None if f is None else f.maxsize if f.maxsize is not None else f.start + 1 if f.kind == "rows" and f.start is not None else None
+    return most is not None and most <= 32
+
+
+def _by_key(how: str, rows: Column, kind: str, wide: str) -> Column:
+    def value(k: Column) -> Column:
+        xs = F.transform(F.filter(rows, lambda e: e["k"] == k), lambda e: e["x"])
+        if how == "count":
+            return F.size(xs).cast("long")
+        if how in ("min", "max"):
+            return (F.array_min if how == "min" else F.array_max)(xs)
+        total = F.aggregate(xs, F.lit(0).cast(wide), lambda a, v: a + v.cast(wide))
+        return total / F.size(xs) if how == "avg" else wrapped(total, kind)
+
+    keys = F.array_sort(F.array_distinct(F.transform(rows, lambda e: e["k"])))
+    return F.transform(keys, lambda k: F.struct(k.alias("k"), value(k).alias("v")))
+
+
 def by_category(s: Scope, how: str, x: Column, category: Column, cond: Column | None = None) -> Column:
     """Array of (key, value) of a frame's categories, keys ascending; a NULL key or value is skipped."""
     use = x.isNotNull() & category.isNotNull() & (F.coalesce(cond, F.lit(False)) if cond is not None else F.lit(True))
     kind = s.type_of(x)
     wide = "double" if how == "avg" or kind in ("float", "double") else "bigint"
-    rows = F.array_sort(s.list(F.when(use, F.struct(category.alias("k"), x.alias("x")))))
+    rows = s.list(F.when(use, F.struct(category.alias("k"), x.alias("x"))))
+    if _short(s):
+        return _by_key(how, rows, kind, wide)
+    rows = F.array_sort(rows)
     state = {"sum": wide, "avg": wide, "count": "int"}.get(how, kind)
     number = lambda e: F.lit(0) if how == "count" else e["x"].cast(state)
     # in order of key and value: the first of a run is its least, the last its greatest

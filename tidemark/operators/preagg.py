@@ -12,6 +12,9 @@ from tidemark.timeutil import floor_div, millis
 #: How partial results of a bucket are put together.
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
+#: So many buckets of the greatest length are looked up one by one.
+FEW = 16
+
 
 def _partials(value: Column) -> list[Column]:
     return [F.count(value).alias("count"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max")]
@@ -67,16 +70,20 @@ def _cover(first: Column, last: Column, most: int) -> Column:
 def long_window(requests: DataFrame, history: DataFrame, buckets: DataFrame, keys: Sequence[str], time: str, value: Column, window_ms: int, bucket_ms: int, where: Column | None = None) -> DataFrame:
     """Requests with ``count``, ``sum``, ``avg``, ``min`` and ``max`` over the history of their key in [time - window, time].
 
-    Buckets wholly inside the window come from ``buckets``, which are put together to longer ones first, so that a request meets two of each
-    length at most however long its window is. In the two at its edges the requests take their place among the
+    Buckets wholly inside the window come from ``buckets``. Where a window has more than ``FEW`` of them they are put together to longer ones first,
+    of which a request meets two of each length and ``FEW`` of the longest at most. In the two at its edges the requests take their place among the
     bucket's rows, and running totals of that bucket answer them; no pairs of requests and rows are built, and a hot key's work is
     split by bucket. Equal requests are computed once. A NULL key or time matches nothing.
     """
     asked = requests.select(*keys, millis(requests, time).alias("__t")).distinct()
     first, last = floor_div(F.col("__t") - window_ms, bucket_ms), floor_div(F.col("__t"), bucket_ms)
-    most = max(0, (window_ms // bucket_ms).bit_length() - 2)
-    inner = asked.withColumn("__b", F.explode(_cover(first + 1, last - 1, most))).select(*keys, "__t", F.col("__b.level").alias("level"), F.col("__b.bucket").alias("bucket"))
-    whole = inner.join(_levels(buckets, keys, most), [*keys, "level", "bucket"]).select(*keys, "__t", *MERGE)
+    most = (window_ms // bucket_ms // FEW).bit_length()
+    if most:
+        inner = asked.withColumn("__b", F.explode(_cover(first + 1, last - 1, most))).select(*keys, "__t", F.col("__b.level").alias("level"), F.col("__b.bucket").alias("bucket"))
+        whole = inner.join(_levels(buckets, keys, most), [*keys, "level", "bucket"]).select(*keys, "__t", *MERGE)
+    else:
+        inner = asked.withColumn("bucket", F.explode(F.when(last - first > 1, F.sequence(first + 1, last - 1)).otherwise(F.array().cast("array<bigint>"))))
+        whole = inner.join(buckets, [*keys, "bucket"]).select(*keys, "__t", *MERGE)
 
     rows = history if where is None else history.filter(where)
     none = F.lit(None).cast("bigint")

@@ -111,3 +111,18 @@ def test_options_that_are_not_served(s, tmp_path):
     with pytest.raises(SqlError):
         s.sql("DEPLOY x OPTIONS (colour='red') SELECT id FROM t1")
     s.sql(f"SELECT id FROM t1 INTO OUTFILE '{tmp_path}/o' OPTIONS (format='csv', thread=4)")
+
+
+def test_an_indexed_table_is_loaded_in_ranges_of_its_keys(s, tmp_path):
+    s.spark.range(0, 4000, 1, 4).selectExpr("CAST(id * 7919 % 50 AS int) AS k", "id AS t", "id * 2 AS v").write.parquet(f"{tmp_path}/in")
+    s.sql("CREATE TABLE big (k int, t bigint, v bigint, INDEX(KEY=k, TS=t))")
+    aqe = s.spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    s.spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        s.sql(f"LOAD DATA INFILE '{tmp_path}/in' INTO TABLE big OPTIONS (format='parquet', mode='append')")
+    finally:
+        s.spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+    spans = sorted(tuple(r) for r in s.table(("big",)).selectExpr("input_file_name() AS f", "struct(k, t) AS e").groupBy("f").agg({"e": "min"}).selectExpr("`min(e)`.k", "`min(e)`.t").collect())
+    ends = sorted(tuple(r) for r in s.table(("big",)).selectExpr("input_file_name() AS f", "struct(k, t) AS e").groupBy("f").agg({"e": "max"}).selectExpr("`max(e)`.k", "`max(e)`.t").collect())
+    assert len(spans) > 1 and all(end < start for end, start in zip(ends, spans[1:]))
+    assert s.sql("SELECT v FROM big WHERE k = 3").count() == 80

@@ -419,6 +419,10 @@ class Session:
             t.external = [*([] if given.mode == "overwrite" else t.external), path]
             return
         rows = compile_query(self.spark, given.sql, lambda n: read(self.spark, path, given)) if given.sql else read(self.spark, path, given, t.schema)
+        if t.indexes and self.root:
+            # in ranges of the first index's keys and time, so that a scan for some keys skips files and row groups; a hot key is split by its time
+            by = [*t.indexes[0].keys, *([t.indexes[0].time] if t.indexes[0].time else [])]
+            rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
         held = t.path or t.frame is not None or t.external
         if given.mode == "error_if_exists" and held:
             raise SqlError(f"table {name[-1]} has rows")

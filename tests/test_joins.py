@@ -43,6 +43,72 @@ def test_asof_join(spark, strict, block):
     assert rows(last_join_where(a, b, ["k"], f"r.t {'<' if strict else '<='} l.t", "t", ["v"], ["t", "v"])) == want
 
 
+CONDITIONS = {
+    "r.t > l.t": lambda l, r: r[1] > l[2],
+    "r.t >= l.t + 0.5": lambda l, r: r[1] >= l[2] + 0.5,
+    "l.t > r.v": lambda l, r: l[2] > r[2],
+    "r.v < l.t AND l.id > 9 AND r.t > 5": lambda l, r: r[2] < l[2] and l[0] > 9 and r[1] > 5,
+    "r.v % 3 = l.id % 3 AND r.t <= l.t": lambda l, r: r[2] % 3 == l[0] % 3 and r[1] <= l[2],
+    "r.t = l.t": lambda l, r: r[1] == l[2],
+    "l.id > 9 AND r.v > 5": lambda l, r: l[0] > 9 and r[2] > 5,
+    "true": lambda l, r: True,
+    "timestamp_seconds(r.t * 9000) < timestamp_seconds(l.t * 9000)": lambda l, r: r[1] < l[2],
+    "timestamp_seconds(r.v * 9000) >= timestamp_seconds(l.t * 9000)": lambda l, r: r[2] >= l[2],
+    "r.t <= l.t AND r.v >= l.id": lambda l, r: r[1] <= l[2] and r[2] >= l[0],
+    "(r.t + l.t) % 7 = 3": lambda l, r: (r[1] + l[2]) % 7 == 3,
+    "r.t <> l.t OR r.v = 3": lambda l, r: r[1] != l[2] or r[2] == 3,
+    "r.t BETWEEN l.t - 5 AND l.t": lambda l, r: l[2] - 5 <= r[1] <= l[2],
+}
+
+
+@pytest.mark.parametrize("condition", CONDITIONS)
+@pytest.mark.parametrize("on", [["k"], []])
+def test_last_join_where_any_condition(spark, condition, on):
+    left, right, a, b = sides(spark)
+
+    def ok(l, r):
+        known = None not in (r[1] if "r.t" in condition else 0, l[2] if "l.t" in condition else 0)
+        return (not on or l[1] is not None and r[0] == l[1]) and (known and CONDITIONS[condition](l, r) or not known and " OR " in condition and r[2] == 3)
+
+    want = sorted([(*l, *best([r for r in right if ok(l, r)])[1:]) for l in left], key=str)
+    got = last_join_where(a, b, on, condition, "t", ["v"], ["t", "v"])
+    assert got.columns == ["id", "k", "t", "t_r", "v"] and rows(got) == want
+    # a left row's key of another type, and both sides from one table
+    assert rows(last_join_where(a.withColumn("k", F.col("k").cast("string")), b, on, condition, "t", ["v"], ["t", "v"]).withColumn("k", F.col("k").cast("int"))) == want
+
+
+def test_last_join_where_of_one_table(spark):
+    df = spark.createDataFrame([(i, i % 3, float(v)) for i, v in enumerate([1, 5, -0.0, 0.0, "nan", 2, "nan", 3, 0.0])], "id int, k int, x double")
+    order = lambda v: float("inf") if v != v else v
+    data = [tuple(r) for r in df.collect()]
+    for sign, ok in (("<", lambda p, q: p < q), (">=", lambda p, q: p >= q)):
+        want = [(i, max((j for j, kj, y in data if kj == k and ok(order(y), order(x))), default=None)) for i, k, x in data]
+        assert rows(last_join_where(df, df, ["k"], f"r.x {sign} l.x", "id", columns=["id"]).select("id", "id_r")) == sorted(want, key=str)
+
+
+def nodes(plan):
+    """A plan's operators with the rows that each has put out, the last of them the topmost; where that isn't counted, those that it took in."""
+    below = [nodes(plan.children().apply(i)) for i in range(plan.children().size())]
+    counted = plan.metrics().contains("numOutputRows")
+    n = plan.metrics().apply("numOutputRows").value() if counted else sum(b[-1][2] for b in below)
+    return [*(x for b in below for x in b), (plan.nodeName(), sum(b[-1][2] for b in below), n)]
+
+
+@pytest.mark.parametrize(("condition", "pairs"), [("r.t <= l.t", False), ("r.v > l.t", False), ("timestamp_millis(r.t) < timestamp_millis(l.t)", False), ("r.t <= l.t AND r.v % 5 <> l.t % 5", True)])
+def test_last_join_where_stores_no_pairs(spark, condition, pairs):
+    n = 600
+    a, b = spark.range(n).selectExpr("id", "1 AS k", "id AS t"), spark.range(n).selectExpr("1 AS k", "id AS t", "id * 7 % 600 AS v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = last_join_where(a, b, ["k"], condition, "t", ["v"], ["t", "v"])
+        assert len(got.collect()) == n
+        seen = nodes(got._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert (max(out for _, _, out in seen) > 10 * n) == pairs
+    assert [x for x in seen if x[0] in ("Sort", "SortAggregate", "ObjectHashAggregate", "Exchange", "Window") and x[1] > 2 * n] == []
+
+
 def test_left_join_and_names(spark):
     left, right, a, b = sides(spark)
     got = left_join(a, b.withColumnRenamed("v", "id"), [("k", "k")], columns=["id"])
